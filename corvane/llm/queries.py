@@ -9,7 +9,36 @@ from pyspark.sql import functions as F
 
 from corvane.session import table
 
-from . import doc_pairs, invalid_files, leaks, lookalikes, provenance
+from . import credentials, doc_pairs, invalid_files, leaks, lookalikes, mixing, neighbours, provenance, splitting
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, sf, "index_vectors"), 5, 0.85)
+
+
+def p1_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "index_vectors"), 5).select("vec_id", "other", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def p1_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.recall(table(spark, sf, "index_vectors"), 5, 0.85)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.secret_lines(table(spark, sf, "chunks"), table(spark, sf, "full_chunks"))
+
+
+def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.redacted(table(spark, sf, "chunks"), table(spark, sf, "full_chunks"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    texts = credentials.record_texts(table(spark, sf, "chunks"), table(spark, sf, "full_chunks"))
+    return splitting.pieces(texts, with_text=False).select("origin", "record_key").distinct()
+
+
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.pieces(credentials.record_texts(table(spark, sf, "chunks"), table(spark, sf, "full_chunks")))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,6 +82,15 @@ def p8_suites(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leak_report(leaks.leaked_items(table(spark, sf, "documents"), items), items)
 
 
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    targets = table(spark, sf, "mix_targets")
+    return mixing.shares(mixing.mixture(table(spark, sf, "documents"), targets), targets)
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.lookalike_pairs(table(spark, sf, "documents"))
 
