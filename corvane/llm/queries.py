@@ -111,4 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": "select distinct 'full_chunks' as origin, chunk_id as record_key from full_chunks where length(content) > 2000 and chunk_id is not null"
+        " union select distinct 'chunks', position::VARCHAR from chunks where length(text) > 2000 and position is not null",
+    }
