@@ -91,9 +91,9 @@ _ASSIGNED = re.compile(r"\\?[\"'`]?\]?(?:\[\d*\])?\s*[?!]?\s*(?:: *[&'\w\[\]<>.,
 _DEFAULT = re.compile(r"(?:[\"'`]\s*[\])]{0,2}\s*(?:,|\|\||\?\?|\bor\b|\.unwrap_or(?:_else)?\(\s*(?:\|\|\s*)?)|\s*(?:\|\||\?\?))\s*" + _QUOTED)
 _PLAIN = re.compile(r"[ \t]*(?:=(?!=)|:(?!:))[ \t]*(?P<value>[^\s\"'`(){}\[\]<>,;]{6,})(?P<after>[ \t]*[;,]?\r?(?:\n|\Z))?")
 #: What may stand between a word like "password" and the secret it tells.
-_TOLD = re.compile(r"s?(?:[ \t]+(?:is|was|are|now|still|of|for|to|the|set|be|value|here))*[ \t]*[:=]?[ \t]*[`'\"]?(?P<value>[^\s`'\"<>{}()\[\]]{6,})")
+_TOLD = re.compile(r"s?(?:[ \t]+(?:is|was|are|now|still|of|for|to|the|set|be|value|here))*[ \t]*[:=]?[ \t]*[`'\"]?(?P<value>[^\s`'\"<>{}()\[\]]{6,4000})")
 _TELLING = re.compile(
-    r"\b(?:[lL]og ?in (?:was|is|as|with)[ \t]+`?[\w.@-]+`?[ \t]*(?:/|:|with|and)[ \t]*[`'\"]?|(?:[uU]ses?|[cC]arr(?:y|ies)|[cC]alls? with|[sS]igns? \w+ with|[sS]ends?|[tT]ry (?:it )?with)[ \t]+[`'\"]?)(?P<value>[^\s`'\"<>{}()\[\]]{6,})"
+    r"\b(?:[lL]og ?in (?:was|is|as|with)[ \t]+`?[\w.@-]+`?[ \t]*(?:/|:|with|and)[ \t]*[`'\"]?|(?:[uU]ses?|[cC]arr(?:y|ies)|[cC]alls? with|[sS]igns? \w+ with|[sS]ends?|[tT]ry (?:it )?with)[ \t]+[`'\"]?)(?P<value>[^\s`'\"<>{}()\[\]]{6,4000})"
 )
 _SECRET_TOPIC = re.compile(r"(?i)vault|password|secret|token|bearer|credential|log ?in|api|\bkey\b|sign|until|rotate")
 
@@ -112,15 +112,15 @@ ABOUT_WORDS = frozenset(
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zñéł]+|\d+|[^\W\d_a-zA-Z]+")
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:<.*>|\[.*\]|\$\{?.*\}?|\{\{?.*\}?\}|%[({]?\w+.*|#\{.*\}|@.*@|\*+|x{4,}|\.{3,}|-+|_+|0+|1+|(?:123456|abcdef)\w*|null|none|nil|undefined|true|false|todo|tbd|n/?a|env:.*"
-    r"|(?:your|my|the|insert|put|enter|replace|change|fill|add|use|some|any)[-_. ]?\w*[-_. ]*(?:me|here|token|key|secret|password|pass|this|it|value|api.*)(?:[-_. ]?\w+)*"
+    r"|(?:your|my|the|insert|put|enter|replace|change|fill|add|use|some|any)[-_. ]?\w*[-_. ]*(?:me|here|token|key|secret|password|pass|this|it|value|api)[\w. -]*"
     r"|(?:example|sample|dummy|fake|test|demo|default|placeholder|redacted|removed|hidden|masked|secret|password|passwd|changeme|letmein|foo|bar|baz|qwerty|user|username|admin|root|guest|pass|pwd|token|key|apikey|value|string)\d{0,4}!?)$"
 )
 _FIELD = re.compile(r"^[A-Za-z][A-Za-z]*(?:[._ /:-][A-Za-z]+)*$")
-_IDENTIFIER = re.compile(r"^(?:[A-Za-z_]+\w*)(?:(?:\.|::|->)[A-Za-z_]\w*)*\(?\)?[;,.]?$")
+_IDENTIFIER = re.compile(r"^[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)*\(?\)?[;,.]?$")
 _HEX = re.compile(r"^(?:sha\d*[-:])?[0-9a-fA-F]{16,}$")
 _UUID = re.compile(r"^\{?[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\}?$")
 _DIGEST = re.compile(r"^(?:sha\d+|md5)[-:]")
-_WORDY = re.compile(r"^(?=.*\d)[A-Za-z]{2,}(?:[!@#$%^&*+=.,~?:;_-]?[A-Za-z]+)*[!@#$%^&*+=.~?:;-]?\d*[A-Za-z]*\d+[A-Za-z]{0,4}$")
+_WORDY = re.compile(r"^(?=.*\d)[A-Za-z]{2,}+(?:[!@#$%^&*+=.,~?:;_-][A-Za-z]++)*+[!@#$%^&*+=.~?:;-]?(?:\d++[A-Za-z]*+){1,3}$")
 _ABOUT_BEFORE = re.compile(r"(?i)\b(?:sha-?\d*|md5|digest|checksum|hash|commit|revision|uuid|guid|integrity|fingerprint|release|version|build|public)\b[\s\w:=`'\"-]{0,24}$")
 
 
