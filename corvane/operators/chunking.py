@@ -92,7 +92,7 @@ HEADERS = {
 _METHOD = {
     "java": ("method_declaration", r"(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^<>]*>\s*)?[\w.<>\[\], ?]+?\s+(?P<name>\w+)\s*\("),
     "javascript": ("method_definition", r"(?!(?:if|for|while|switch|catch|return|function)\b)(?:(?:static|async|get|set|public|private|protected|readonly|override)\s+)*\*?\s*(?P<name>[#\w$]+)\s*(?:<[^<>{}]*>)?\("),
-    "cpp": ("function_definition", r"(?!(?:if|for|while|switch|return|else|do|catch)\b)(?:template\s*<[^{;]*?>\s*)?[\w:<>,*&\s~]*?(?P<name>~?\w+)\s*\("),
+    "cpp": ("function_definition", r"(?!(?:if|for|while|switch|return|else|do|catch)\b|(?:public|private|protected)\s*:)(?:template\s*<[^{;]*?>\s*)?[\w:<>,*&\s~]*?(?P<name>~?\w+)\s*\("),
 }
 _METHOD["typescript"], _METHOD["c"] = _METHOD["javascript"], _METHOD["cpp"]
 _CLASSES = ("class_declaration", "class_specifier", "struct_specifier", "interface_declaration")
