@@ -46,9 +46,10 @@ def check(code: str, lang: str) -> Verdict | None:
         code = code[1:]
     if lang == "python":
         lex = lexer.PYTHON
+        code = "\n" + code  # the first line's indentation counts as well
         tokens = lex.tokens(code)
         found = pythonlang.parse(tokens, lex.kind_string(tokens))
-        if found and _python_accepts(code):
+        if found and _python_accepts(code[1:]):
             found = []
     else:
         lex, parser, end_lines = _PARSERS[lang]
@@ -75,6 +76,8 @@ def check(code: str, lang: str) -> Verdict | None:
         return Verdict(True, 0, None, None, [])
     found = sorted(set(found))
     lines = lex.lines_of(code, [p for p, _ in found])
+    if lang == "python":
+        lines = [n - 1 or 1 for n in lines]
     return Verdict(False, len(found), lines[0], found[0][1], [f"{n}: {why}" for n, (_, why) in zip(lines, found)])
 
 

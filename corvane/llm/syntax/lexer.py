@@ -17,7 +17,7 @@ END = "\0"
 
 def code(token: str) -> str:
     """The kind character of a keyword or operator."""
-    if len(token) == 1 and not token.isalnum() and token != "_":
+    if len(token) == 1 and (not token.isalnum() and token != "_" or token in "insNX"):
         return token
     return _CODES.setdefault(token, chr(0x100 + len(_CODES)))
 
@@ -50,7 +50,7 @@ class _Kinds(dict):
         elif first.isidentifier() or first in "$":
             kind = "i"
         elif first == "'" and len(token) > 1:
-            kind = code("'a")
+            kind = "s" if len(token) > 2 and token[-1] == "'" else code("'a")
         elif first == "#" and len(token) > 1:
             kind = "i"
         else:
@@ -68,7 +68,7 @@ class Lexer:
         fixed = {t: code(t) for t in keywords.split() + ops} | dict.fromkeys(as_name.split(), "i") | {"": ""} | (same or {})
         newline = r"\n\s*+|" if lines else ""
         self.pattern = re.compile(
-            rf"(?:{skip})*+({first}{newline}{literal}|{word}|\.?\d(?:[eEpP][+-]|[\w.'])*|" + "|".join(map(re.escape, ops)) + r"|[^\s]|\Z)", re.S
+            rf"(?:{skip})*+({first}{newline}{literal}|{word}|\.?\d(?:[eEpP][+-](?=\d)|\w|'(?=\w)|\.(?![.]|[A-Za-df-z_]\w|e[A-Za-z_]))*|" + "|".join(map(re.escape, ops)) + r"|[^\s]|\Z)", re.S
         )
         self.kinds = _Kinds(fixed, re.compile(number), quotes)
 
@@ -125,7 +125,8 @@ _JS_OPS = _C_OPS + " => === !== ** **= ?. ?? ??= &&= ||="
 JS = Lexer(_JS_KEYWORDS, _JS_OPS, _JS_SKIP, _TEMPLATE + _DQ + "|" + _SQ, _NUM_JS, word=r"[^\W\d][\w$]*|\$[\w$]*|#[^\W\d]\w*", lines=True, first=_REGEX)
 TS = Lexer(
     _JS_KEYWORDS + " enum", _JS_OPS, _JS_SKIP, _TEMPLATE + _DQ + "|" + _SQ, _NUM_JS, word=r"[^\W\d][\w$]*|\$[\w$]*|#[^\W\d]\w*", lines=True, first=_REGEX,
-    same=dict.fromkeys(("keyof", "readonly", "unique", "infer", "asserts"), code("keyof")) | {"is": code("is")},
+    same=dict.fromkeys(("keyof", "readonly", "unique", "infer", "asserts"), code("keyof"))
+    | {"is": code("is"), "interface": code("interface"), "namespace": code("namespace"), "module": code("namespace")},
 )
 GO = Lexer(
     "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",

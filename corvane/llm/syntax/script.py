@@ -14,7 +14,7 @@ from .lexer import code, name_of
 _WORDS = "var let const if else for while do switch case default return break continue function class extends new this super throw try catch finally typeof void delete instanceof in import export null true false yield await async debugger enum"
 _ENDERS = "ins)]}" + "".join(code(t) for t in ("++", "--", "return", "break", "continue", "this", "super", "null", "true", "false", "debugger", "yield", "await", "async", "default"))
 _STARTERS = "ins@" + "".join(
-    code(t) for t in "var let const if for while do switch case default return break continue function class new this super throw try typeof void delete import export null true false yield await async debugger enum ++ -- ! ~ ...".split()
+    code(t) for t in "var let const if for while do switch case default return break continue function class new this super throw try typeof void delete import export null true false yield await async debugger enum keyof interface namespace ++ -- ! ~ ...".split()
 )
 _KEEP = re.compile(f"(?<=[{re.escape(_ENDERS)}])N(?=[{re.escape(_STARTERS)}])|N")
 
@@ -24,7 +24,7 @@ def end_lines(kinds: str) -> str:
     return _KEEP.sub(lambda m: "N" if 0 < m.start() and m.end() < len(kinds) and kinds[m.start() - 1] in _ENDERS and kinds[m.end()] in _STARTERS else " ", kinds)
 
 
-_OPERATOR = re.compile(f"{code('keyof')}(?![is{{\\[(]|{code('typeof')})|{code('is')}(?![isn{{\\[(])|(?<![i{code('this')}]){code('is')}")
+_OPERATOR = re.compile(f"{code('interface')}(?!i)|{code('namespace')}(?![is])|{code('keyof')}(?![is{{\\[(]|{code('typeof')})|{code('is')}(?![isn{{\\[(])|(?<![i{code('this')}]){code('is')}")
 
 
 def end_typed_lines(kinds: str) -> str:
@@ -594,7 +594,7 @@ class Script(Parser):
                 return self.function(False)
             if self.at("class"):
                 return self.class_(False)
-            if self.typed and self.s[self.p] == "i" and (self.ahead(1) == "i" or self.ahead(1) == code("class")):
+            if self.typed and (self.at("interface") or self.s[self.p] == "i" and (self.ahead(1) == "i" or self.ahead(1) == code("class"))):
                 return self.statement()
             self.expression()
             return self.end()
@@ -614,7 +614,7 @@ class Script(Parser):
         if self.typed and self.eat("="):
             self.expression()
             return self.end()
-        if not self.at_any("var let const function class async @ enum") and not (self.typed and self.s[self.p] == "i"):
+        if not self.at_any("var let const function class async @ enum interface namespace") and not (self.typed and self.s[self.p] == "i"):
             raise Fail(f"expected a declaration, found {name_of(self.s[self.p])}")
         self.statement()
 
@@ -773,38 +773,50 @@ class TypeScript(Script):
     def typed_statement(self) -> bool:
         if self.at("enum"):
             self.enum()
-            return True
-        if self.s[self.p] != "i":
-            return False
-        return self.attempt(self.declaration)
+        elif self.eat("interface"):
+            self.name()
+            if self.at("<"):
+                self.type_parameters()
+            if self.eat("extends"):
+                self.type()
+                while self.eat(","):
+                    self.type()
+            self.object_type()
+        elif self.eat("namespace"):
+            if self.s[self.p] == "s":
+                self.p += 1
+            else:
+                self.name()
+                while self.eat("."):
+                    self.member_name()
+            if self.at("{"):
+                self.block()
+            else:
+                self.end()
+        else:
+            return self.s[self.p] == "i" and self.attempt(self.declaration)
+        return True
 
     def declaration(self) -> None:
-        """``interface``, ``type``, ``namespace``, ``declare`` and ``abstract class``: words that are names elsewhere."""
-        if self.ahead(1) in codes("class function const let var enum async"):
+        """``type``, ``declare``, ``abstract`` and ``global``: words that are names elsewhere."""
+        if self.ahead(1) in codes("class function const let var enum async interface namespace"):
             self.p += 1
             if self.at_any("let var"):
                 self.p += 1
                 self.variables()
                 return self.end()
             return self.statement()
-        if self.ahead(1) not in "is":
+        if self.ahead(1) != "i":
             raise Fail("no declaration")
         self.p += 1
-        if self.s[self.p] == "i" and self.ahead(1) == "i" and self.ahead(2) in "i{<=.":
-            self.p += 1  # declare namespace x
-        self.p += 1
-        while self.eat("."):
-            self.name()
+        if self.s[self.p] == "i" and self.ahead(1) == "i":
+            self.p += 1  # declare type x
+        elif self.ahead(1) == "{":
+            self.p += 1  # declare global
+            return self.block()
+        self.name()
         if self.at("<"):
             self.type_parameters()
-        if self.eat("="):
-            self.type()
-            return self.end()
-        if self.eat("extends"):
-            self.type()
-            while self.eat(","):
-                self.type()
-        if not self.at("{"):
-            raise Fail("no declaration")
-        if not self.attempt(self.object_type):
-            self.block()
+        self.need("=")
+        self.type()
+        self.end()
