@@ -39,15 +39,17 @@ FIT_ROWS = 40_000
 """Bound of the sample that the coarse quantizer is fitted on."""
 SHARD_ROWS = 12_000
 CELL_ROWS = 3_000
+MAX_CELLS = 20_000
+"""Bound of the broadcast centres (5 MB); beyond it cells are salted into more shards."""
 PROBES = 3
 MARGIN = 0.15
 """Angle in radians by which a further cell's centre may be farther than the nearest one's to be searched as well."""
 DEGREE = 16
 LEVEL_SHARE = 1 / 16
-EF = 16
-STEPS = 8
+EF = 24
+STEPS = 11
 """Steps of the beam from the hierarchy's entry point (two candidates are expanded a step)."""
-OWN_STEPS = 3
+OWN_STEPS = 4
 """Steps of the beam for a vector of the shard itself, which starts at its own node."""
 BATCH = 512
 
@@ -308,7 +310,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = DIM,
         if groups.take(1) else all_rows.select("vec_id", "h", "embedding")
     )
     n = vectors.count()
-    n_cells = max(1, -(-n // CELL_ROWS))
+    n_cells = min(MAX_CELLS, max(1, -(-n // CELL_ROWS)))
     share = min(1.0, FIT_ROWS / max(1, n))
     picked = nodes.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("embedding").limit(2 * FIT_ROWS).toPandas()
     sample = _matrix(picked["embedding"], dim)
@@ -318,7 +320,9 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = DIM,
     parts = np.maximum(1, np.ceil(counts / SHARD_ROWS)).astype(np.int64)
     shared = spark.sparkContext.broadcast((centers, parts))
     assigned = nodes.mapInPandas(_assigner(shared, dim, probes, MARGIN), "cell int, salt int, vec_id long, home boolean, v binary")
-    hits = assigned.groupBy("cell", "salt").applyInPandas(_searcher(k, dim, least), "vec_id long, other long, cosine double")
+    # the number of tasks follows the number of shards, so a task's input is bounded at every size
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(parts.sum()) // 4))
+    hits = assigned.repartition(tasks, "cell", "salt").groupBy("cell", "salt").applyInPandas(_searcher(k, dim, least), "vec_id long, other long, cosine double")
     if groups.take(1):
         member = ids.join(groups_side, "h").select("h", "vec_id", "rep")
         first = member.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1).select("h", "rep", F.col("vec_id").alias("other"))
