@@ -64,9 +64,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector at length one; null for a zero vector."""
+    """The vector at length one; null for a zero vector.  The length is computed once per row, not per element."""
     n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    return F.when(n > 0, F.zip_with(a, F.array_repeat(n, F.size(a)), lambda x, m: x.cast("double") / m))
 
 
 def tokens_about(s: Column) -> Column:

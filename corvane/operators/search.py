@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import dot, unit
+from corvane.functions import dot, norm
 
 THRESHOLD = 0.3
 TOP_K = 20
@@ -24,14 +24,10 @@ def usable(vectors: DataFrame, dim: int = 64) -> DataFrame:
     )
 
 
-def normalized(vectors: DataFrame) -> DataFrame:
-    """The index's rows with unit vectors in double precision."""
-    return usable(vectors).withColumn("unit", unit(F.col("embedding")))
-
-
 def top_k(vectors: DataFrame, query: DataFrame, k: int = TOP_K, key: str = "vec_id") -> DataFrame:
-    """The k best rows for a one-row query ``(q array<double>)``, by score rounded to 6 places, then key."""
-    scored = normalized(vectors).crossJoin(F.broadcast(query.limit(1))).select(key, dot(F.col("unit"), F.col("q")).alias("raw"))
+    """The k best rows by cosine for a one-row query ``(q array<double>)`` of length one, by score rounded to 6 places, then key."""
+    rows = usable(vectors).select(key, "embedding").crossJoin(F.broadcast(query.limit(1)))
+    scored = rows.select(key, (dot(F.col("embedding"), F.col("q")) / norm(F.col("embedding"))).alias("raw"))
     return scored.orderBy(F.desc(F.round("raw", 6)), key).limit(k)
 
 
