@@ -312,7 +312,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = DIM,
     n = vectors.count()
     n_cells = min(MAX_CELLS, max(1, -(-n // CELL_ROWS)))
     share = min(1.0, FIT_ROWS / max(1, n))
-    picked = nodes.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("embedding").limit(2 * FIT_ROWS).toPandas()
+    picked = nodes.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("embedding").limit(FIT_ROWS).toPandas()
     sample = _matrix(picked["embedding"], dim)
     centers = fit_cells(sample, n_cells)
     at = np.argmax(sample @ centers.T, 1) if len(sample) else np.empty(0, int)
@@ -350,7 +350,7 @@ def recall(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM,
     spark = vectors.sparkSession
     rows = usable(vectors, dim=dim).dropDuplicates(["vec_id"])
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    blocks = max(1, -(-asked.count() // 4096))
+    blocks = max(1, -(-asked.count() // 512))
     out = None
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "embedding").toPandas()
@@ -364,7 +364,7 @@ def recall(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM,
                 ids = pdf["vec_id"].to_numpy()
                 s = q.astype(np.float64) @ _matrix(pdf["embedding"], dim).astype(np.float64).T
                 s[q_ids[:, None] == ids[None, :]] = -2.0
-                top = np.argsort(-s, axis=1)[:, : k + 1]
+                top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1]
                 r = np.repeat(np.arange(len(q)), top.shape[1])
                 c = top.ravel()
                 ok = s[r, c] > least
