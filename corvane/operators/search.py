@@ -13,7 +13,7 @@ from corvane.functions import dot, norm
 
 THRESHOLD = 0.3
 TOP_K = 20
-BLOCK = 2048
+BLOCK = 512
 
 
 def usable(vectors: DataFrame, dim: int = 64) -> DataFrame:
