@@ -2,18 +2,24 @@
 
 Shards are the cells of a coarse quantizer, fitted on at most ``FIT_ROWS`` vectors; dense
 regions get more cells, and a cell that still holds more than ``SHARD_ROWS`` vectors is
-salted into several shards.  Every vector is indexed in its own cell and searched in the
-``PROBES`` nearest cells that can hold a vector of sufficient cosine.
+salted into several shards.  Every vector is indexed in its own shard and searched there
+first.  The k-th cosine found, or the least one asked for, is its floor; it is then compared
+with every shard that its floor does not rule out, so the graphs decide how much is
+compared and never what comes out.  A vector of another cell is at least as near to that
+cell's centre as to the asking vector's own centre, so no cosine over ``sqrt(1 - s^2)`` can come
+from there, ``s`` being the asking vector's distance from the plane between the two centres.
+Where cells are wide against the floors, hardly any is ruled out and the work is quadratic.
 
 A shard's index is a hierarchy of small-world graphs: every vector has a random top
 level, a level's graph links each of its vectors to at most ``DEGREE`` others, chosen from
 its nearest by the rule that a neighbour must be closer to the vector than to any
 neighbour already chosen, with reverse links added.  A level is one flat int32 array of
-neighbours, -1 where there is none.  Graphs are built and searched in batches: all queries
-of a shard descend the levels greedily, then run a beam of ``EF`` candidates over level 0,
-step by step in NumPy.  Shard results are merged to the k best per vector.
+neighbours, -1 where there is none.  Graphs are built and searched in batches: all vectors
+of a shard run a beam of ``EF`` candidates over level 0 from their own node, step by step in
+NumPy (queries from elsewhere would descend the levels first).  Shards are then packed into one row each and
+paired without a shuffle; the k best of a vector are kept over all pairs of a task and merged.
 
-Only pairs over the least cosine asked for leave a shard.  Equal vectors are collapsed to
+Only pairs over the floor leave a task.  Equal vectors are collapsed to
 one node before indexing (on digests, with map-side limits), so a vector that fills a third of
 the table costs one node; its copies are each other's nearest, and of more than k + 1
 copies each is linked to the first ones.
@@ -41,9 +47,10 @@ SHARD_ROWS = 12_000
 CELL_ROWS = 3_000
 MAX_CELLS = 20_000
 """Bound of the broadcast centres (5 MB); beyond it cells are salted into more shards."""
-PROBES = 3
-MARGIN = 0.15
-"""Angle in radians by which a further cell's centre may be farther than the nearest one's to be searched as well."""
+SLACK = 1e-5
+"""What cosines in single precision may be off by when cells and pairs are ruled out."""
+SIDE_SHARDS = 64
+"""Shards that a task holds at once to compare others with (64 x 3,000 x 256 B = 50 MB)."""
 DEGREE = 16
 LEVEL_SHARE = 1 / 16
 EF = 24
@@ -238,8 +245,8 @@ class Graph:
 
 # --- all shards ----------------------------------------------------------------------------------
 
-def _assigner(shared, dim: int, probes: int, margin: float):
-    """Per vector its own cell (home) and the further cells to search."""
+def _assigner(shared, dim: int):
+    """Per vector its own cell and salt."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centers, parts = shared.value
@@ -247,55 +254,99 @@ def _assigner(shared, dim: int, probes: int, margin: float):
             if not len(pdf):
                 continue
             v = _matrix(pdf["embedding"], dim)
-            sims = v @ centers.T
-            p = min(probes, sims.shape[1])
-            near = np.argpartition(-sims, p - 1, axis=1)[:, :p] if p < sims.shape[1] else np.argsort(-sims, 1)
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1), 1)
-            angle = np.arccos(np.clip(np.take_along_axis(sims, near, 1), -1, 1))
-            ids = pdf["vec_id"].to_numpy()
-            h = pdf["h"].to_numpy()
+            cell = np.argmax(v @ centers.T, axis=1)
             blobs = np.array([x.tobytes() for x in v], dtype=object)
-            out = []
-            for j in range(p):
-                cell = near[:, j]
-                ok = angle[:, j] - angle[:, 0] < margin
-                n_parts = parts[cell]
-                for salt in range(int(n_parts.max(initial=1))):
-                    rows = ok & (salt < n_parts)
-                    if rows.any():
-                        own = (h % n_parts == salt) & (j == 0)
-                        out.append(pd.DataFrame({"cell": cell[rows].astype(np.int32), "salt": np.int32(salt), "vec_id": ids[rows], "home": own[rows], "v": blobs[rows]}))
-            yield pd.concat(out)
+            yield pd.DataFrame({"cell": cell.astype(np.int32), "salt": (pdf["h"].to_numpy() % parts[cell]).astype(np.int32), "vec_id": pdf["vec_id"].to_numpy(), "v": blobs})
 
     return run
 
 
-def _searcher(k: int, dim: int, least: float):
+def open_cells(v: np.ndarray, cell: int, floors: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Per vector of a cell and per cell: whether that cell can hold a vector of a cosine over the floor."""
+    apart = np.linalg.norm(centers[cell] - centers, axis=1)
+    sims = v @ centers.T
+    s = np.where(apart > 1e-3, (sims[:, cell, None] - sims) / np.maximum(apart, 1e-3), 0.0)
+    most = np.sqrt(np.clip(1.0 - np.clip(s - SLACK / np.maximum(apart, 1e-3), 0.0, 1.0) ** 2, 0.0, 1.0))
+    return most + SLACK >= floors[:, None]
+
+
+def _packer(shared, k: int, dim: int, least: float):
+    """A shard as one row: its vectors, their floors by the shard's graph and the cells that some floor leaves open."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.frombuffer(b"".join(pdf["v"]), dtype=np.float32).reshape(-1, dim)
-        ids = pdf["vec_id"].to_numpy()
-        home = pdf["home"].to_numpy().astype(bool)
-        order = np.argsort(ids[home], kind="stable")
-        base, base_ids = v[home][order], ids[home][order]
-        parts = []
-        if len(base):
-            graph = Graph(base)
-            for asked, asked_ids, found in (
-                (base, base_ids, graph.search(base, k + 1, EF, OWN_STEPS, np.arange(len(base)))),
-                (v[~home], ids[~home], graph.search(v[~home], k)),
-            ):
-                q, j = np.nonzero((found[0] >= 0) & (found[1] > least - 1e-4))
-                at = found[0][q, j]
-                keep = base_ids[at] != asked_ids[q]
-                q, at = q[keep], at[keep]
-                exact = np.einsum("nd,nd->n", asked[q].astype(np.float64), base[at].astype(np.float64))
-                parts.append(pd.DataFrame({"vec_id": asked_ids[q], "other": base_ids[at], "cosine": exact}))
-        return pd.concat(parts) if parts else pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+        centers, _ = shared.value
+        ids, first = np.unique(pdf["vec_id"].to_numpy(), return_index=True)
+        v = np.frombuffer(b"".join(pdf["v"].to_numpy()[first]), dtype=np.float32).reshape(-1, dim)
+        cell = int(pdf["cell"].iloc[0])
+        _, sims = Graph(v).search(v, k + 1, EF, OWN_STEPS, np.arange(len(v)))  # each also finds itself
+        floors = np.maximum(sims[:, k], np.float32(least)) - np.float32(SLACK)
+        cells = np.zeros(len(centers), bool)
+        for a in range(0, len(v), BATCH):
+            cells |= open_cells(v[a : a + BATCH], cell, floors[a : a + BATCH], centers).any(0)
+        cells[cell] = True
+        return pd.DataFrame({"cell": [cell], "salt": [int(pdf["salt"].iloc[0])], "ids": [ids.astype(np.int64).tobytes()], "vectors": [v.tobytes()], "floors": [floors.tobytes()], "cells": [np.flatnonzero(cells).astype(np.int32)]})
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = DIM, probes: int = PROBES) -> DataFrame:
+class Best:
+    """The k best others of a shard's vectors over all shards seen so far."""
+
+    def __init__(self, ids: np.ndarray, floors: np.ndarray, k: int):
+        self.ids, self.floors, self.k = ids, floors.copy(), k
+        self.others = np.full((len(ids), k), -1, np.int64)
+        self.cosines = np.full((len(ids), k), -2.0)
+
+    def see(self, v: np.ndarray, rows: np.ndarray, other_ids: np.ndarray, others: np.ndarray) -> None:
+        """Compare the vectors at ``rows`` with ``others``."""
+        step = max(1, 1_000_000 // max(1, len(others)))
+        for a in range(0, len(rows), step):
+            part = rows[a : a + step]
+            sims = v[part] @ others.T
+            lively = np.flatnonzero(sims.max(1) >= self.floors[part])
+            if not len(lively):
+                continue
+            part, sims = part[lively], sims[lively]
+            over = sims >= self.floors[part][:, None]
+            wide = int(over.sum(1).max())
+            if wide > 4 * self.k:
+                near = np.argpartition(-sims, min(self.k, sims.shape[1] - 1), axis=1)[:, : self.k + 1]  # one may be the vector itself
+                ok = np.take_along_axis(over, near, 1)
+            else:
+                r, c = np.nonzero(over)
+                near, ok = np.zeros((len(part), wide), np.int64), np.zeros((len(part), wide), bool)
+                col = np.arange(len(r)) - np.searchsorted(r, r)
+                near[r, col], ok[r, col] = c, True
+            ok &= other_ids[near] != self.ids[part][:, None]
+            exact = np.einsum("nd,nmd->nm", v[part].astype(np.float64), others[near].astype(np.float64))
+            ids = np.concatenate((self.others[part], np.where(ok, other_ids[near], -1)), 1)
+            cosines = np.concatenate((self.cosines[part], np.where(ok, exact, -2.0)), 1)
+            order = np.lexsort((ids, -cosines), axis=1)[:, : self.k]
+            self.others[part], self.cosines[part] = np.take_along_axis(ids, order, 1), np.take_along_axis(cosines, order, 1)
+            self.floors[part] = np.maximum(self.floors[part], (self.cosines[part, -1] - SLACK).astype(np.float32))
+
+
+def _comparer(shared, k: int, dim: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centers, _ = shared.value
+        best: dict[tuple[int, int], Best] = {}
+        for pdf in batches:
+            for x in pdf.itertuples(index=False):
+                v = np.frombuffer(x.vectors, np.float32).reshape(-1, dim)
+                b = best.setdefault((x.cell, x.salt), Best(np.frombuffer(x.ids, np.int64), np.frombuffer(x.floors, np.float32), k))
+                rows = np.arange(len(v))
+                if x.other_cell != x.cell:
+                    two = centers[[x.cell, x.other_cell]]
+                    rows = np.flatnonzero(open_cells(v, 0, b.floors, two)[:, 1])
+                b.see(v, rows, np.frombuffer(x.other_ids, np.int64), np.frombuffer(x.other_vectors, np.float32).reshape(-1, dim))
+        for b in best.values():
+            r, j = np.nonzero(b.cosines > -1.5)
+            yield pd.DataFrame({"vec_id": b.ids[r], "other": b.others[r, j], "cosine": b.cosines[r, j]})
+
+    return run
+
+
+def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = DIM) -> DataFrame:
     """(vec_id, other, cosine, rank): the k most similar others of every usable vector, over the cosine ``least``."""
     spark = vectors.sparkSession
     all_rows = usable(vectors, dim=dim)
@@ -319,10 +370,17 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = DIM,
     counts = np.bincount(at, minlength=len(centers)) / max(share, 1e-9)
     parts = np.maximum(1, np.ceil(counts / SHARD_ROWS)).astype(np.int64)
     shared = spark.sparkContext.broadcast((centers, parts))
-    assigned = nodes.mapInPandas(_assigner(shared, dim, probes, MARGIN), "cell int, salt int, vec_id long, home boolean, v binary")
+    assigned = nodes.mapInPandas(_assigner(shared, dim), "cell int, salt int, vec_id long, v binary")
     # the number of tasks follows the number of shards, so a task's input is bounded at every size
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(parts.sum()) // 4))
-    hits = assigned.repartition(tasks, "cell", "salt").groupBy("cell", "salt").applyInPandas(_searcher(k, dim, least), "vec_id long, other long, cosine double")
+    shards = int(parts.sum())
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 4))
+    packed = cut_lineage(
+        assigned.repartition(tasks, "cell", "salt").groupBy("cell", "salt")
+        .applyInPandas(_packer(shared, k, dim, least), "cell int, salt int, ids binary, vectors binary, floors binary, cells array<int>")
+    )
+    others = packed.select(F.col("cell").alias("other_cell"), F.col("ids").alias("other_ids"), F.col("vectors").alias("other_vectors")).coalesce(-(-shards // SIDE_SHARDS))
+    pairs = packed.join(others.hint("shuffle_replicate_nl"), F.expr("array_contains(cells, other_cell)")).drop("cells")
+    hits = pairs.mapInPandas(_comparer(shared, k, dim), "vec_id long, other long, cosine double")
     if groups.take(1):
         member = ids.join(groups_side, "h").select("h", "vec_id", "rep")
         first = member.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1).select("h", "rep", F.col("vec_id").alias("other"))

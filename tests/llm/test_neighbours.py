@@ -52,3 +52,32 @@ def test_graph_search_finds_itself_and_small_graphs_work():
     ids, sims = N.Graph(v).search(v, 1, 32, 20)
     assert (ids[:, 0] == np.arange(900)).mean() > 0.9
     assert N.Graph(v[:2]).search(v[:2], 3)[0][:, :2].tolist() == [[0, 1], [1, 0]]
+
+
+def test_nearest_finds_neighbours_in_far_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_ROWS", 60)
+    monkeypatch.setattr(N, "SHARD_ROWS", 40)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(900, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i - 5, x.tolist(), None) for i, x in enumerate(v)], SCHEMA)
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    for least in (-1.0, 0.35):
+        got = {(r.vec_id, r["rank"]): r.other for r in N.nearest(df, 5, least).collect()}
+        assert got == {(i - 5, n + 1): j - 5 for i in range(900) for n, j in enumerate(np.argsort(-s[i])[:5]) if s[i, j] > least}
+
+
+def test_cells_are_ruled_out_only_where_no_vector_can_be_near():
+    rng = np.random.default_rng(6)
+    v = (np.repeat(rng.normal(size=(12, 64)), 50, 0) + rng.normal(size=(600, 64)) * 0.3).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    centers = N.fit_cells(v, 12)
+    home = np.argmax(v @ centers.T, 1)
+    s = v @ v.T
+    for floor in (0.2, 0.6, 0.9):
+        for c in range(len(centers)):
+            rows = np.flatnonzero(home == c)
+            left = N.open_cells(v[rows], c, np.full(len(rows), floor, np.float32), centers)
+            assert all(left[q, home[s[r] > floor]].all() for q, r in enumerate(rows))
+            assert floor < 0.9 or left.mean() < 0.5
