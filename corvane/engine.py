@@ -86,11 +86,9 @@ class ContextEngine:
         folders = _folder_chunks(everything, self.provider)
         everything = incremental.combined(everything, _embedded(folders, self.provider)).where(F.col("embedding").isNotNull())
         everything.write.parquet(os.path.join(out, "chunks"))
-        # a hash is recorded only for files whose chunks were stored
-        stored = self.spark.read.parquet(os.path.join(out, "chunks")).select(*keys).distinct()
-        now.select(*keys, "hash", "code").join(stored, keys, "left_semi").select(*keys, "hash").unionByName(
-            now.where("length(code) <= 100").join(stored, keys, "left_anti").select(*keys, "hash")
-        ).write.parquet(os.path.join(out, "files"))
+        # a file of which a chunk got no vector is listed without a hash, so the next run takes it as modified and replaces what was stored
+        failed = fresh.where(F.col("embedding").isNull()).select(*keys, F.lit(True).alias("failed")).distinct()
+        now.join(failed, keys, "left").select(*keys, F.when(F.col("failed").isNull(), F.col("hash")).alias("hash")).write.parquet(os.path.join(out, "files"))
         manifest = {"version": version, "root": os.path.abspath(root), "model": self.provider.name, "dim": self.provider.dim, "total_chunks": self.spark.read.parquet(os.path.join(out, "chunks")).count()}
         draft = self._pointer() + f".{uuid.uuid4().hex}"
         with open(draft, "w", encoding="utf-8") as f:

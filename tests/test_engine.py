@@ -66,3 +66,35 @@ def test_provider_faults():
 def test_fit_is_the_longest_prefix():
     assert fit("", ["a" * 40, "b" * 40], 10) == "a" * 40
     assert fit("s", ["a" * 40], 5) == "s"
+
+
+class Failing(HashProvider):
+    def __init__(self, word):
+        self.word = word
+
+    def embed(self, texts):
+        if any(self.word in t and not t.startswith("FILE:") for t in texts):
+            raise OSError("batch failed")
+        return super().embed(texts)
+
+
+def test_a_file_with_a_failed_batch_is_indexed_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("corvane.engine.EMBED_BATCH", 1)
+    root = tmp_path / "repo"
+    root.mkdir()
+    (root / "lost.py").write_text("".join(f"def part_{n}(values):\n    total = sum(values) + {n}\n    return total\n\n" for n in range(4)) + "def zebra(values):\n    count = 1\n    return count\n")
+    (root / "short.md").write_text("# A short note\n")
+    (root / "whole.py").write_text("def kept(values):\n    total = sum(values)\n    return total\n")
+    (root / "empty.py").write_text("")
+    index = str(tmp_path / "index")
+    assert ContextEngine(spark, index, provider=Failing("zebra")).index(str(root)) == {"added": 4}
+    again = ContextEngine(spark, index)
+    assert again.index(str(root)) == {"modified": 1, "unchanged": 3}
+    assert again._read("chunks").where("function_name = 'zebra'").count() == 1
+    assert again._read("chunks").where("function_name = 'part_0'").count() == 1
+    assert again.index(str(root)) == {"unchanged": 4}
+    short = str(tmp_path / "short")
+    ContextEngine(spark, short, provider=Failing("short note")).index(str(root))
+    (root / "short.md").unlink()
+    assert ContextEngine(spark, short).index(str(root)) == {"deleted": 1, "unchanged": 3}
+    assert ContextEngine(spark, short)._read("chunks").where("file = 'short.md'").count() == 0
