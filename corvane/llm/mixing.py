@@ -1,8 +1,8 @@
 """Problem 9: sources mixed to target shares of tokens.
 
-Every document has a membership in the target domains: its source if that is a target,
-else, where the source is unknown, the posterior of a classifier fitted on labelled rows.
-Each document gets a rate between 0 and its domain's cap of repeats.  The rates minimise
+Every document has a membership in each target domain: 1 in its source if that is a target,
+else, where the source is unknown, the posteriors of a classifier fitted on labelled rows.
+Each document gets a rate between 0 and the cap of repeats of its likeliest domain.  The rates minimise
 the squared distance of the domains' expected token totals from their targets; they
 are found by projected gradient steps in dual form: a rate is a function of the membership
 and one price per domain, so an iteration is one aggregation over a narrow table of
@@ -17,8 +17,8 @@ are spread over the present ones in proportion and reported.
 Tokens are counted with a public vocabulary; the classifier is fitted on at most
 ``FIT_ROWS`` labelled rows (a bound, not a share), everything else covers all rows.
 
-Defined results: null or empty texts have no tokens and never come out; unknown sources
-join a domain only if its posterior is at least ``SURE``; repeated keys are one document;
+Defined results: null or empty texts have no tokens and never come out; the tokens of unknown
+sources count for every domain by its posterior, whatever that is; repeated keys are one document;
 targets with a null or non-positive share take no part.
 """
 
@@ -41,7 +41,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FIT_ROWS = 20_000
 BUCKETS = 8192
-SURE = 0.9
 ITERATIONS = 40
 CLOSE = 2e-4
 _WORD = re.compile(r"\w+|[^\w\s]")
@@ -95,98 +94,101 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, key: str = "doc_id") -> Classifie
     return Classifier(sorted({s for s, _ in got}) or [""], got)
 
 
-def _measured(docs: DataFrame, model: Classifier, vocabulary: str, key: str) -> DataFrame:
+def _measured(docs: DataFrame, model: Classifier, domains: list[str], vocabulary: str, key: str) -> DataFrame:
+    """(doc_id, source, m, n_tokens): ``m`` holds the membership in each of ``domains``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = {d: row for d, row in zip(domains, np.eye(len(domains)))}
+        none = np.zeros(len(domains))
         for pdf in batches:
             encode = _encoding(vocabulary).encode_ordinary
+            at = {label: k for k, label in enumerate(shared.value.labels)}
             n = [len(encode(t)) for t in pdf["text"]]
-            domain, sure = [], []
+            m = []
             for s, t in zip(pdf["source"], pdf["text"]):
                 if s is None:
                     p = shared.value.posterior(t)
-                    k = int(np.argmax(p))
-                    domain.append(shared.value.labels[k])
-                    sure.append(float(p[k]))
+                    m.append(np.array([float(p[at[d]]) if d in at else 0.0 for d in domains]))
                 else:
-                    domain.append(s)
-                    sure.append(1.0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "domain": domain, "membership": sure, "n_tokens": n})
+                    m.append(one.get(s, none))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "m": m, "n_tokens": n})
 
     return (
         docs.where(f"{key} is not null and text is not null and text <> ''").select(F.col(key).cast("long").alias("doc_id"), "source", "text")
-        .mapInPandas(run, "doc_id long, source string, domain string, membership double, n_tokens long")
+        .mapInPandas(run, "doc_id long, source string, m array<double>, n_tokens long")
     )
 
 
 def mixture(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id") -> DataFrame:
-    """(doc_id, source, domain, membership, n_tokens, repeats) of every document that comes out at least once."""
+    """(doc_id, source, domain, membership, memberships, n_tokens, repeats) of every document that comes out at least once; ``domain`` is the likeliest."""
     # the targets are a fixed small table of domains; its rows are read to the driver
     wanted = {r.source: (r.target_share, r.max_repeats or 1) for r in targets.where("source is not null and target_share > 0").collect()}
+    domains = list(wanted)
+    names = F.array(*[F.lit(d) for d in domains]).cast("array<string>")
     narrow = cut_lineage(
-        _measured(docs, fit(docs, key=key), vocabulary, key)
-        .where((F.col("membership") >= SURE) & F.col("domain").isin(*wanted)).dropDuplicates(["doc_id"])
+        _measured(docs, fit(docs, key=key), domains, vocabulary, key)
+        .withColumn("membership", F.array_max("m")).where("membership > 0").dropDuplicates(["doc_id"])
+        .withColumn("domain", F.element_at(names, F.array_position("m", F.col("membership")).cast("int")))
         .withColumn("u", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) + 0.5) / (1 << 30))
     )
-    have = {r.domain: float(r.n) for r in narrow.groupBy("domain").agg(F.sum(F.col("n_tokens") * F.col("membership")).alias("n")).collect()}
-    present = [d for d in wanted if have.get(d, 0) > 0]
+    memberships = F.map_filter(F.map_from_arrays(names, F.col("m")), lambda _, x: x > 0).alias("memberships")
+    columns = ["doc_id", "source", "domain", "membership", memberships, "n_tokens"]
+    have = _sums(narrow, len(domains), F.lit(1))
+    present = [k for k in range(len(domains)) if have[k] > 0]
     if not present:
-        return narrow.select("doc_id", "source", "domain", "membership", "n_tokens", F.lit(0).alias("repeats")).limit(0)
-    scale = sum(wanted[d][0] for d in present)
-    share = np.array([wanted[d][0] / scale for d in present])
-    caps = np.array([float(wanted[d][1]) for d in present])
-    tokens = np.array([have[d] for d in present])
-    size = float(np.min(caps * tokens / share))
+        return narrow.select(*columns, F.lit(0).alias("repeats")).limit(0)
+    share = np.array([wanted[domains[k]][0] for k in present])
+    share = share / share.sum()
+    caps = np.array([float(wanted[d][1]) for d in domains])
+    tokens = have[present]
+    size = float(np.min(caps[present] * tokens / share))
     goal = size * share
-    price = goal / tokens  # the rate of a full member of each domain, the first guess
+    price = np.zeros(len(domains))
+    price[present] = goal / tokens  # the rate of a full member of each domain, the first guess
     best, best_gap = price.copy(), np.inf
     for _ in range(ITERATIONS):
-        total = _totals(narrow, present, price, caps)
+        total = _sums(narrow, len(domains), _repeats(domains, price, caps))[present]
         gap = float(np.max(np.abs(total - goal)) / size)
         if gap < best_gap:
             best, best_gap = price.copy(), gap
         if gap < CLOSE:
             break
-        # the gradient of the squared distance, preconditioned by each domain's tokens, projected on [0, cap]
-        price = np.clip(price - (total - goal) / tokens, 0.0, caps)
-    return (
-        narrow.withColumn("repeats", _repeats(present, best, caps)).where("repeats > 0")
-        .select("doc_id", "source", "domain", "membership", "n_tokens", "repeats")
-    )
-
-
-def _by_domain(domains: list[str], values: np.ndarray):
-    out = F.lit(0.0)
-    for d, v in zip(domains, values):
-        out = F.when(F.col("domain") == d, F.lit(float(v))).otherwise(out)
-    return out
+        # the gradient of the squared distance, preconditioned by each domain's tokens; the rates are projected on [0, cap]
+        price[present] -= (total - goal) / tokens
+    return narrow.withColumn("repeats", _repeats(domains, best, caps)).where("repeats > 0").select(*columns, "repeats")
 
 
 def _repeats(domains: list[str], price: np.ndarray, caps: np.ndarray):
-    rate = _by_domain(domains, price)
-    cap = _by_domain(domains, caps)
-    return F.least(F.floor(rate + F.col("u")), cap).cast("int")
+    rate, cap = F.lit(0.0), F.lit(0.0)
+    for k, d in enumerate(domains):
+        rate = rate + F.get("m", F.lit(k)) * float(price[k])
+        cap = F.when(F.col("domain") == d, F.lit(float(caps[k]))).otherwise(cap)
+    return F.least(F.floor(F.greatest(rate, F.lit(0.0)) + F.col("u")), cap).cast("int")
 
 
-def _totals(narrow: DataFrame, domains: list[str], price: np.ndarray, caps: np.ndarray) -> np.ndarray:
-    sums = narrow.groupBy("domain").agg(F.sum(_repeats(domains, price, caps) * F.col("n_tokens") * F.col("membership")).alias("n")).collect()
-    got = {r.domain: float(r.n) for r in sums}
-    return np.array([got.get(d, 0.0) for d in domains])
+def _sums(narrow: DataFrame, n: int, repeats) -> np.ndarray:
+    """The tokens that count for each of ``n`` domains."""
+    if not n:
+        return np.zeros(0)
+    got = narrow.select("m", (repeats * F.col("n_tokens")).alias("t")).agg(*[F.sum(F.get("m", F.lit(k)) * F.col("t")).alias(f"d{k}") for k in range(n)]).first()
+    return np.array([float(x or 0.0) for x in got])
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: its share, the share reached, tokens, documents and the most repeats of one document."""
-    out = mixed.groupBy("domain").agg(
-        F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"), F.count("*").alias("n_documents"), F.max("repeats").alias("most_repeats")
-    )
+    # tokens count for every domain by membership, a document and its repeats for the likeliest one
+    mine = F.col("d") == F.col("domain")
+    out = mixed.select("*", F.explode("memberships").alias("d", "part")).groupBy(F.col("d")).agg(
+        F.sum(F.col("n_tokens") * F.col("repeats") * F.col("part")).alias("n_tokens"), F.count(F.when(mine, 1)).alias("n_documents"), F.max(F.when(mine, F.col("repeats"))).alias("most_repeats")
+    ).withColumnRenamed("d", "domain")
     everything = out.agg(F.sum("n_tokens").alias("all_tokens"))
     t = targets.where("source is not null and target_share > 0").select(F.col("source").alias("domain"), "target_share", "max_repeats")
     return (
         t.join(out, "domain", "left").crossJoin(F.broadcast(everything))  # one row
         .select(
             F.col("domain").alias("source"), "target_share", F.round(F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"),
-            F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"),
+            F.coalesce(F.round("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"),
             "max_repeats", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
         )
     )

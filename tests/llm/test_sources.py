@@ -179,3 +179,13 @@ def test_classifier_holds_out():
     model = M.Classifier(["x", "y", "z"], [(s, make(s)) for s in "xyz" for _ in range(60)])
     tries = [(s, model.labels[int(model.posterior(make(s)).argmax())]) for s in "xyz" for _ in range(40)]
     assert sum(a == b for a, b in tries) / len(tries) > 0.95
+
+
+def test_unsure_documents_count_for_every_domain(spark):
+    rows = [(n, f"{s} {s}{n % 5} " * 8, s) for n, s in enumerate(["a", "b"] * 200)] + [(1000 + n, f"a a{n % 5} b b{n % 5} " * 4, None) for n in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mixed = M.mixture(docs, targets)
+    unsure = mixed.where("source is null and membership < 0.9").collect()
+    assert len(unsure) > 150 and all(abs(sum(r.memberships.values()) - 1) < 1e-6 and len(r.memberships) == 2 for r in unsure)
+    assert all(abs(r.actual_share - 0.5) < 0.02 for r in M.shares(mixed, targets).collect())
