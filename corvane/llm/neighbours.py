@@ -1,28 +1,30 @@
 """Problem 1: the most similar vectors of every vector, by one navigable small-world graph per shard.
 
-Shards are the cells of a coarse quantizer, fitted on at most ``FIT_ROWS`` vectors; dense
-regions get more cells, and a cell that still holds more than ``SHARD_ROWS`` vectors is
-salted into several shards.  Every vector is indexed in its own shard and searched there
-first.  The k-th cosine found, or the least one asked for, is its floor; it is then compared
-with every shard that its floor does not rule out, so the graphs decide how much is
-compared and never what comes out.  A vector of another cell is at least as near to that
-cell's centre as to the asking vector's own centre, so no cosine over ``sqrt(1 - s^2)`` can come
-from there, ``s`` being the asking vector's distance from the plane between the two centres.
-Where cells are wide against the floors, hardly any is ruled out and the work is quadratic.
-
-A shard's index is a hierarchy of small-world graphs: every vector has a random top
-level, a level's graph links each of its vectors to at most ``DEGREE`` others, chosen from
-its nearest by the rule that a neighbour must be closer to the vector than to any
-neighbour already chosen, with reverse links added.  A level is one flat int32 array of
-neighbours, -1 where there is none.  Graphs are built and searched in batches: all vectors
-of a shard run a beam of ``EF`` candidates over level 0 from their own node, step by step in
-NumPy (queries from elsewhere would descend the levels first).  Shards are then packed into one row each and
-paired without a shuffle; the k best of a vector are kept over all pairs of a task and merged.
-
-Only pairs over the floor leave a task.  Equal vectors are collapsed to
-one node before indexing (on digests, with map-side limits), so a vector that fills a third of
-the table costs one node; its copies are each other's nearest, and of more than k + 1
-copies each is linked to the first ones.
+Shards are the cells of a coarse quantizer, fitted on at most ``FIT_ROWS`` vectors.  Cells
+are counted exactly; one that holds more than ``SHARD_ROWS`` vectors is cut by planes through
+its centre into sub-cells, so vectors are never copied to parts they can't belong to.
+
+A shard's index is a hierarchy of small-world graphs: every vector has a random top level,
+and a level's graph links each of its vectors to at most ``DEGREE`` others and as many
+reverse ones.  Links start from the leaves of a few random-projection trees and are bettered
+by neighbour descent (the neighbours of neighbours are the only candidates), then chosen by the
+rule that a neighbour must be closer to the vector than to any neighbour already chosen.  A level is
+one flat int32 array of neighbours, -1 where there is none.  A search descends the levels
+with a narrow beam and ends in a beam of ``EF`` candidates over level 0; vectors of the shard
+itself start at their own node.
+
+The job has two passes.  The first builds every shard's graph and searches it for its own
+vectors; the k-th cosine found, or the least one asked for, is a vector's floor.  The second
+searches the other shards that may hold a better vector and merges the results.  Whether one
+may is judged by planes: a vector of another cell lies beyond the plane halfway between the
+two centres.  A neighbour of cosine f is sqrt(1 - f^2) away across the vector, and in ``dim``
+dimensions that displacement points ``PROBE_WIDTH`` / sqrt(dim) of its length or further in one given direction
+only rarely; planes further off than that are not crossed.  The rule is the same at every size and for every
+floor, so its loss does not grow with the table; it is measured by :func:`recall`.
+
+Equal vectors are collapsed to one node before indexing (on digests, with map-side
+limits), so a vector that fills a third of the table costs one node; its copies are each
+other's nearest, and of more than k + 1 copies each is linked to the first ones.
 
 Defined results: null, zero, wrong-length vectors and those holding null, NaN or infinity
 take no part; ties are broken by the smaller id; repeated rows of an id count once; an
@@ -43,21 +45,26 @@ from corvane.session import cut_lineage, small
 DIM = 64
 FIT_ROWS = 40_000
 """Bound of the sample that the coarse quantizer is fitted on."""
-SHARD_ROWS = 12_000
-CELL_ROWS = 3_000
-MAX_CELLS = 20_000
-"""Bound of the broadcast centres (5 MB); beyond it cells are salted into more shards."""
-SLACK = 1e-5
-"""What cosines in single precision may be off by when cells and pairs are ruled out."""
-SIDE_SHARDS = 64
-"""Shards that a task holds at once to compare others with (64 x 3,000 x 256 B = 50 MB)."""
+CELL_ROWS = 12_000
+SHARD_ROWS = 36_000
+"""Cells of more vectors are cut by planes."""
+MAX_CELLS = 10_000
+"""Bound of the broadcast centres (2.5 MB); a larger table has its cells cut by planes."""
+PROBE_WIDTH = 1.4
+"""How far off, in standard deviations of an isotropic displacement, a plane is still crossed."""
 DEGREE = 16
-LEVEL_SHARE = 1 / 16
-EF = 24
-STEPS = 11
-"""Steps of the beam from the hierarchy's entry point (two candidates are expanded a step)."""
-OWN_STEPS = 4
-"""Steps of the beam for a vector of the shard itself, which starts at its own node."""
+NEAR = 28
+"""Near vectors that a vector's links are chosen from."""
+LEVEL_SHARE = 1 / 4
+TOP_ROWS = 1024
+"""A level of no more vectors is the hierarchy's top and is scanned."""
+TREES, LEAF, DESCENTS = 9, 96, 1
+EF, STEPS = 24, 14
+"""Width and steps of the beam over level 0; vectors of the shard itself take ``OWN_STEPS``."""
+UPPER_EF, UPPER_STEPS = 20, 12
+SLACK = 1e-5
+"""What cosines in single precision may be off by."""
+OWN_STEPS = 6
 BATCH = 512
 
 
@@ -96,39 +103,123 @@ def fit_cells(sample: np.ndarray, n_cells: int, rounds: int = 8, seed: int = 7)
 
 # --- one shard's graph -------------------------------------------------------------------------
 
+def _dots(vectors: np.ndarray, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Cosines of every query with its own row of ``ids``; -2 for -1."""
+    out = np.matmul(vectors[np.maximum(ids, 0)], queries[:, :, None])[:, :, 0]
+    out[ids < 0] = -2.0
+    return out
+
+
+def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best distinct ids of every row, best first."""
+    order = np.argsort(ids, axis=1)
+    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -2.0
+    if ids.shape[1] > k:
+        top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
+    order = np.argsort(-sims, axis=1, kind="stable")
+    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    ids[sims < -1.5] = -1
+    return ids, sims
+
+
+def _tree_leaves(vectors: np.ndarray, rng: np.random.Generator, leaf: int) -> np.ndarray:
+    """Rows of about ``leaf`` near vectors each, by median cuts along random pairs' differences; some vectors occur twice."""
+    n = len(vectors)
+    depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
+    width = -(-n // (1 << depth))
+    rows = np.concatenate((rng.permutation(n), rng.integers(0, n, (width << depth) - n)))[None, :]
+    for _ in range(depth):
+        g, w = rows.shape
+        ends = rng.integers(0, w, (g, 2))
+        at = np.arange(g)
+        along = vectors[rows[at, ends[:, 0]]] - vectors[rows[at, ends[:, 1]]]
+        order = np.argsort(np.matmul(vectors[rows], along[:, :, None])[:, :, 0], axis=1)
+        rows = np.take_along_axis(rows, order, 1).reshape(2 * g, -1) if w % 2 == 0 else _halves(np.take_along_axis(rows, order, 1))
+    return rows
+
+
+def _halves(rows: np.ndarray) -> np.ndarray:
+    h = (rows.shape[1] + 1) // 2
+    return np.concatenate((rows[:, None, :h], rows[:, None, -h:]), 1).reshape(-1, h)
+
+
+def near_vectors(vectors: np.ndarray, k: int = NEAR, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """About the k nearest others of every vector (positions, cosines), by random-projection trees and neighbour descent."""
+    n = len(vectors)
+    rng = np.random.default_rng(seed)
+    ids, sims = np.full((n, k), -1, np.int32), np.full((n, k), -2.0, np.float32)
+    for _ in range(TREES):
+        leaves = _tree_leaves(vectors, rng, max(LEAF, k + 2)).astype(np.int32)
+        for a in range(0, len(leaves), 256):
+            part = leaves[a : a + 256]
+            v = vectors[part]
+            s = np.matmul(v, v.transpose(0, 2, 1))
+            s[part[:, :, None] == part[:, None, :]] = -2.0
+            w = part.shape[1]
+            m = min(k, w)
+            near = np.argpartition(-s, m - 1, axis=2)[:, :, :m].reshape(-1, m)
+            at = part.ravel()
+            s = np.take_along_axis(s.reshape(-1, w), near, 1)
+            near = part[np.arange(len(part)).repeat(w)[:, None], near]
+            at, once = np.unique(at, return_index=True)
+            ids[at], sims[at] = _best(np.concatenate((ids[at], near[once]), 1), np.concatenate((sims[at], s[once]), 1), k)
+    ids[sims < -1.5] = -1
+    half = max(1, k * 2 // 5)
+    for _ in range(DESCENTS):
+        back = _reverse(ids, sims, half)
+        around = np.concatenate((ids[:, :half], back), 1)
+        new_ids, new_sims = ids.copy(), sims.copy()
+        for a in range(0, n, BATCH):
+            via = around[a : a + BATCH]
+            far = ids[np.maximum(via, 0), :half]
+            far[via < 0] = -1
+            far = np.concatenate((far.reshape(len(via), -1), back[a : a + BATCH]), 1)
+            far[far == np.arange(a, a + len(via), dtype=np.int32)[:, None]] = -1
+            # only what beats the worst near vector goes on
+            s = _dots(vectors, vectors[a : a + BATCH], far)
+            s[s <= sims[a : a + BATCH, -1:]] = -2.0
+            wide = min(2 * k, far.shape[1])
+            top = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
+            all_ids = np.concatenate((ids[a : a + BATCH], np.take_along_axis(far, top, 1)), 1)
+            all_sims = np.concatenate((sims[a : a + BATCH], np.take_along_axis(s, top, 1)), 1)
+            new_ids[a : a + BATCH], new_sims[a : a + BATCH] = _best(all_ids, all_sims, k)
+        ids, sims = new_ids, new_sims
+    return ids, sims
+
+
+def _reverse(links: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
+    """Who links to every vector, the nearest ``width`` ones."""
+    n = len(links)
+    src, j = np.nonzero(links >= 0)
+    dst, sim = links[src, j], sims[src, j]
+    order = np.lexsort((-sim, dst))
+    src, dst = src[order], dst[order]
+    rank = np.arange(len(dst)) - np.searchsorted(dst, np.arange(n))[dst]
+    keep = rank < width
+    back = np.full((n, width), -1, np.int32)
+    back[dst[keep], rank[keep]] = src[keep]
+    return back
+
+
 def build_level(vectors: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     """The flat neighbour array of one level: ``degree`` chosen links and as many reverse ones."""
     n = len(vectors)
     if n <= 1:
         return np.full((n, 2 * degree), -1, np.int32)
-    m = min(n - 1, degree + degree // 2)
-    links = np.empty((n, degree), np.int32)
-    for a in range(0, n, 512):
-        part = vectors[a : a + 512] @ vectors.T
-        part[np.arange(len(part)), np.arange(a, a + len(part))] = -2.0
-        near = np.argpartition(-part, m - 1, axis=1)[:, :m] if m < n - 1 else np.argsort(-part, axis=1)[:, :m]
-        order = np.argsort(-np.take_along_axis(part, near, 1), axis=1)
-        near = np.take_along_axis(near, order, 1)
-        links[a : a + 512] = _select_block(vectors, a, near, degree)
-    back = np.full((n, degree), -1, np.int32)
-    src = np.repeat(np.arange(n, dtype=np.int32), degree)
-    dst = links.ravel()
-    ok = dst >= 0
-    src, dst = src[ok], dst[ok]
-    sim = np.einsum("nd,nd->n", vectors[src], vectors[dst])
-    order = np.lexsort((-sim, dst))
-    src, dst = src[order], dst[order]
-    first = np.searchsorted(dst, np.arange(n))
-    rank = np.arange(len(dst)) - first[dst]
-    keep = rank < degree
-    back[dst[keep], rank[keep]] = src[keep]
+    near, sims = near_vectors(vectors, NEAR)
+    links = np.concatenate([_select_block(vectors, a, near[a : a + 512], sims[a : a + 512], degree) for a in range(0, n, 512)])
+    kept = np.full(links.shape, -2.0, np.float32)
+    for a in range(0, n, 4096):
+        kept[a : a + 4096] = _dots(vectors, vectors[a : a + 4096], links[a : a + 4096])
+    back = _reverse(links, kept, degree)
+    back[(back[:, :, None] == links[:, None, :]).any(2)] = -1
     return np.concatenate((links, back), axis=1)
 
 
-def _select_block(vectors: np.ndarray, start: int, near: np.ndarray, degree: int) -> np.ndarray:
-    block = vectors[start : start + len(near)]
-    around = vectors[near]
-    sims = np.einsum("nd,nmd->nm", block, around)
+def _select_block(vectors: np.ndarray, start: int, near: np.ndarray, sims: np.ndarray, degree: int) -> np.ndarray:
+    around = vectors[np.maximum(near, 0)]
     between = np.matmul(around, around.transpose(0, 2, 1))
     n, m = near.shape
     chosen = np.full((n, degree), -1, np.int32)
@@ -136,212 +227,242 @@ def _select_block(vectors: np.ndarray, start: int, near: np.ndarray, degree: int
     kept = np.zeros((n, m), bool)
     for j in range(m):
         closest = np.where(kept[:, :j], between[:, j, :j], -2.0).max(1, initial=-2.0)
-        rows = np.flatnonzero((closest < sims[:, j]) & (count < degree))
+        rows = np.flatnonzero((closest < sims[:, j]) & (count < degree) & (near[:, j] >= 0))
         kept[rows, j] = True
         chosen[rows, count[rows]] = near[rows, j]
         count[rows] += 1
     for j in range(m):
-        rows = np.flatnonzero(~kept[:, j] & (count < degree))
+        rows = np.flatnonzero(~kept[:, j] & (count < degree) & (near[:, j] >= 0))
         chosen[rows, count[rows]] = near[rows, j]
         count[rows] += 1
     return chosen
 
 
 class Graph:
-    """A hierarchy of levels over one shard's unit vectors."""
+    """A hierarchy of levels over one shard's unit vectors; ``base`` gives level 0 if it is built already."""
 
-    def __init__(self, vectors: np.ndarray, degree: int = DEGREE, seed: int = 11):
+    def __init__(self, vectors: np.ndarray, degree: int = DEGREE, seed: int = 11, base: np.ndarray | None = None):
         self.vectors = vectors
         rng = np.random.default_rng(seed)
         members = np.arange(len(vectors))
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # the level's members, and their neighbours as positions in members
-        while len(members):
-            self.levels.append((members, build_level(vectors[members], degree)))
-            if len(members) <= 64:
-                break
+        #: the level's members, their vectors, and their neighbours as positions in members
+        self.levels = [(members, vectors, build_level(vectors, degree) if base is None else base)]
+        while len(members) > TOP_ROWS:
             members = members[rng.random(len(members)) < LEVEL_SHARE]
+            if not len(members):
+                break
+            v = vectors[members]
+            self.levels.append((members, v, build_level(v, degree)))
 
-    def search(self, queries: np.ndarray, k: int, ef: int = EF, steps: int = STEPS, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (positions, cosines) per query; -1 where there are fewer.  With ``entry`` the beam starts there instead of descending."""
-        if entry is None:
-            entry = self._descend(queries)
-        links = self.levels[0][1]
-        out_ids = np.full((len(queries), k), -1, np.int64)
-        out_sims = np.full((len(queries), k), -2.0, np.float32)
+    def search(self, queries: np.ndarray, k: int, ef: int = EF, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (positions, cosines) per query by descending the levels; -1 where there are fewer."""
+        out_ids, out_sims = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -2.0, np.float32)
         for a in range(0, len(queries), BATCH):
-            ids, sims = self._beam(queries[a : a + BATCH], entry[a : a + BATCH], links, ef, steps)
-            out_ids[a : a + BATCH, : min(k, ef)] = ids[:, :k]
-            out_sims[a : a + BATCH, : min(k, ef)] = sims[:, :k]
+            q = queries[a : a + BATCH]
+            members, v, _ = self.levels[-1]
+            s = q @ v.T
+            wide = min(UPPER_EF if len(self.levels) > 1 else max(ef, k), len(members))
+            at = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
+            s = np.take_along_axis(s, at, 1)
+            for level in range(len(self.levels) - 2, -1, -1):
+                lower, v, links = self.levels[level]
+                at = np.searchsorted(lower, self.levels[level + 1][0][at])  # where there is no node, its cosine of -2 says so
+                at, s = self._beam(q, at, s, v, links, ef if level == 0 else UPPER_EF, steps if level == 0 else UPPER_STEPS)
+            self._put(out_ids, out_sims, a, at, s, k)
         return out_ids, out_sims
 
-    def _descend(self, queries: np.ndarray) -> np.ndarray:
-        members, links = self.levels[-1]
-        entry = members[np.argmax(queries @ self.vectors[members].T, axis=1)]
-        for members, links in self.levels[-2:0:-1]:
-            where = np.full(len(self.vectors), -1, np.int64)
-            where[members] = np.arange(len(members))
-            at = where[entry]
-            score = np.einsum("nd,nd->n", queries, self.vectors[members[at]])
-            for _ in range(8):  # greedy descent
-                near = links[at]
-                s = np.einsum("nd,nmd->nm", queries, self.vectors[members[np.maximum(near, 0)]])
-                s[near < 0] = -2.0
-                j = np.argmax(s, axis=1)
-                top = s[np.arange(len(at)), j]
-                better = top > score
-                if not better.any():
-                    break
-                at = np.where(better, near[np.arange(len(at)), j], at)
-                score = np.maximum(score, top)
-            entry = members[at]
-        return entry
-
-    def _beam(self, queries: np.ndarray, entry: np.ndarray, links: np.ndarray, ef: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
-        n = len(queries)
+    def search_own(self, k: int, ef: int = EF, steps: int = OWN_STEPS) -> tuple[np.ndarray, np.ndarray]:
+        """The k best others (positions, cosines) of every vector of the shard, from its own node."""
+        n = len(self.vectors)
+        out_ids, out_sims = np.full((n, k), -1, np.int64), np.full((n, k), -2.0, np.float32)
+        _, v, links = self.levels[0]
+        for a in range(0, n, BATCH):
+            at = np.arange(a, min(n, a + BATCH))[:, None]
+            at, s = self._beam(v[a : a + BATCH], at, np.full(at.shape, 2.0, np.float32), v, links, max(ef, k + 1), steps)
+            self._put(out_ids, out_sims, a, at[:, 1:], s[:, 1:], k)  # the first is the vector itself
+        return out_ids, out_sims
+
+    @staticmethod
+    def _put(out_ids: np.ndarray, out_sims: np.ndarray, a: int, at: np.ndarray, s: np.ndarray, k: int) -> None:
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        out_ids[a : a + len(at), : order.shape[1]] = np.take_along_axis(at, order, 1)
+        out_sims[a : a + len(at), : order.shape[1]] = np.take_along_axis(s, order, 1)
+        out_ids[a : a + len(at)][out_sims[a : a + len(at)] < -1.5] = -1
+
+    @staticmethod
+    def _beam(queries: np.ndarray, at: np.ndarray, sims: np.ndarray, v: np.ndarray, links: np.ndarray, ef: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``ef`` nodes met when the best node not yet expanded is expanded ``steps`` times."""
+        n, have = at.shape
         rows = np.arange(n)
-        seen = np.zeros((n, len(self.vectors)), bool)
-        ids = np.full((n, ef), -1, np.int64)
-        sims = np.full((n, ef), -2.0, np.float32)
-        todo = np.zeros((n, ef), bool)
-        ids[:, 0], todo[:, 0] = entry, True
-        sims[:, 0] = np.einsum("nd,nd->n", queries, self.vectors[entry])
-        seen[rows, entry] = True
-        live = rows
+        seen = np.zeros((n, len(v)), bool)
+        ids = np.full((n, max(ef, have)), -1, np.int64)
+        best = np.full(ids.shape, -2.0, np.float32)
+        ids[:, :have], best[:, :have] = np.where(sims > -1.5, at, -1), sims
+        todo = ids >= 0
+        r, c = np.nonzero(todo)
+        seen[r, ids[r, c]] = True
         for _ in range(steps):
-            # expand the two best candidates that are not expanded yet
-            open_sims = np.where(todo[live], sims[live], -3.0)
-            pick = np.argpartition(-open_sims, 1, axis=1)[:, :2] if ef > 2 else np.argsort(-open_sims, axis=1)[:, :1]
-            good = np.take_along_axis(open_sims, pick, 1) > -2.5
-            alive = good.any(1)
-            live, pick, good = live[alive], pick[alive], good[alive]
-            if not len(live):
+            open_sims = np.where(todo, best, -3.0)
+            pick = np.argmax(open_sims, axis=1)
+            live = open_sims[rows, pick] > -2.5
+            if not live.any():
                 break
-            todo[live[:, None], pick] = False
-            near = np.where(good[:, :, None], links[ids[live[:, None], pick]], -1).reshape(len(live), -1)
-            fresh = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
-            r, c = np.nonzero(fresh)
-            if not len(r):
-                continue
-            node = near[r, c]
-            pair = live[r] * len(self.vectors) + node
-            _, once = np.unique(pair, return_index=True)
-            r, node = r[once], node[once]
-            seen[live[r], node] = True
-            score = np.einsum("nd,nd->n", queries[live[r]], self.vectors[node])
-            width = np.bincount(r, minlength=len(live))
-            col = np.arange(len(r)) - np.concatenate(([0], np.cumsum(width)[:-1]))[r]
-            wide = int(width.max())
-            new_ids = np.full((len(live), wide), -1, np.int64)
-            new_sims = np.full((len(live), wide), -2.0, np.float32)
-            new_ids[r, col], new_sims[r, col] = node, score
-            all_ids = np.concatenate((ids[live], new_ids), 1)
-            all_sims = np.concatenate((sims[live], new_sims), 1)
-            all_todo = np.concatenate((todo[live], new_ids >= 0), 1)
-            top = np.argpartition(-all_sims, ef - 1, axis=1)[:, :ef]
-            ids[live], sims[live], todo[live] = np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_sims, top, 1), np.take_along_axis(all_todo, top, 1)
-        order = np.argsort(-sims, axis=1, kind="stable")
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+            todo[rows, pick] = False
+            near = links[np.maximum(ids[rows, pick], 0)].astype(np.int64)
+            near[~live] = -1
+            known = seen[rows[:, None], np.maximum(near, 0)]
+            near[known] = -1
+            r, c = np.nonzero(near >= 0)
+            seen[r, near[r, c]] = True
+            s = _dots(v, queries, near)
+            all_ids, all_sims = np.concatenate((ids, near), 1), np.concatenate((best, s), 1)
+            all_todo = np.concatenate((todo, near >= 0), 1)
+            top = np.argpartition(-all_sims, ids.shape[1] - 1, axis=1)[:, : ids.shape[1]]
+            ids, best, todo = np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_sims, top, 1), np.take_along_axis(all_todo, top, 1)
+        order = np.argsort(-best, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
 
 
 # --- all shards ----------------------------------------------------------------------------------
 
+class Cells:
+    """The shared plan: the cells' centres and how many planes cut each."""
+
+    def __init__(self, centers: np.ndarray, counts: np.ndarray):
+        self.centers = centers
+        self.planes = np.ceil(np.log2(np.maximum(1.0, counts / SHARD_ROWS))).astype(np.int64)
+        rng = np.random.default_rng(13)
+        self.directions = rng.standard_normal((max(1, int(self.planes.max(initial=0))), centers.shape[1])).astype(np.float32)
+
+    def own(self, v: np.ndarray) -> np.ndarray:
+        return np.argmax(v @ self.centers.T, axis=1)
+
+    def sides(self, v: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Signed distances of every vector from the planes of the cell beside it; planes hold the cell's centre."""
+        c = self.centers[cell]
+        out = v @ self.directions.T - np.einsum("nd,nd->n", v, c)[:, None] * (c @ self.directions.T)
+        across = np.sqrt(np.maximum(1e-6, (self.directions ** 2).sum(1)[None, :] - (c @ self.directions.T) ** 2))
+        return out / across
+
+    def sub(self, v: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The sub-cell of every vector in the cell beside it."""
+        n = self.planes[cell]
+        if not n.any():
+            return np.zeros(len(v), np.int64)
+        bits = (self.sides(v, cell) > 0) & (np.arange(len(self.directions))[None, :] < n[:, None])
+        return bits @ (1 << np.arange(len(self.directions)))
+
+    def routes(self, v: np.ndarray, cell: int, sub: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, sub) of every other shard that a vector is to be searched in."""
+        reach = PROBE_WIDTH * np.sqrt(np.maximum(0.0, 1.0 - np.clip(floors, 0.0, 1.0) ** 2)) / np.sqrt(v.shape[1])
+        apart = np.linalg.norm(self.centers[cell] - self.centers, axis=1)
+        sims = v @ self.centers.T
+        s = (sims[:, cell, None] - sims) / np.maximum(apart, 1e-3)
+        r, c = np.nonzero((s <= reach[:, None]) | (np.arange(len(apart)) == cell)[None, :])
+        if not self.planes[c].any():
+            other = c != cell
+            return r[other], c[other], np.zeros(int(other.sum()), np.int64)
+        sides, n = self.sides(v[r], c), self.planes[c]
+        to = np.zeros(len(r), np.int64)
+        for j in range(len(self.directions)):
+            used = j < n
+            up = used & (sides[:, j] > 0)
+            both = np.flatnonzero(used & (np.abs(sides[:, j]) <= reach[r]))
+            to2 = to[both] + (~up[both]).astype(np.int64) * (1 << j)
+            to = to + up * (1 << j)
+            r, c, n, sides, to = np.concatenate((r, r[both])), np.concatenate((c, c[both])), np.concatenate((n, n[both])), np.concatenate((sides, sides[both])), np.concatenate((to, to2))
+        other = (c != cell) | (to != sub)
+        return r[other], c[other], to[other]
+
+
 def _assigner(shared, dim: int):
-    """Per vector its own cell and salt."""
+    """Every vector with its own shard."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centers, parts = shared.value
+        cells = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
             v = _matrix(pdf["embedding"], dim)
-            cell = np.argmax(v @ centers.T, axis=1)
-            blobs = np.array([x.tobytes() for x in v], dtype=object)
-            yield pd.DataFrame({"cell": cell.astype(np.int32), "salt": (pdf["h"].to_numpy() % parts[cell]).astype(np.int32), "vec_id": pdf["vec_id"].to_numpy(), "v": blobs})
+            cell = cells.own(v)
+            yield pd.DataFrame({"cell": cell.astype(np.int32), "sub": cells.sub(v, cell).astype(np.int32), "vec_id": pdf["vec_id"].to_numpy(), "v": _blobs(v)})
 
     return run
 
 
-def open_cells(v: np.ndarray, cell: int, floors: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Per vector of a cell and per cell: whether that cell can hold a vector of a cosine over the floor."""
-    apart = np.linalg.norm(centers[cell] - centers, axis=1)
-    sims = v @ centers.T
-    s = np.where(apart > 1e-3, (sims[:, cell, None] - sims) / np.maximum(apart, 1e-3), 0.0)
-    most = np.sqrt(np.clip(1.0 - np.clip(s - SLACK / np.maximum(apart, 1e-3), 0.0, 1.0) ** 2, 0.0, 1.0))
-    return most + SLACK >= floors[:, None]
+def _counter(shared, dim: int):
+    """How many vectors of a batch are in every cell."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                cell, n = np.unique(np.argmax(_matrix(pdf["embedding"], dim) @ shared.value.T, axis=1), return_counts=True)
+                yield pd.DataFrame({"cell": cell.astype(np.int32), "n": n})
+
+    return run
+
+
+def _blobs(m: np.ndarray) -> np.ndarray:
+    out = np.empty(len(m), dtype=object)
+    out[:] = [x.tobytes() for x in m]
+    return out
+
 
+def _stack(blobs: np.ndarray, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype=kind).reshape(-1, width)
 
-def _packer(shared, k: int, dim: int, least: float):
-    """A shard as one row: its vectors, their floors by the shard's graph and the cells that some floor leaves open."""
+
+ROUTED = "cell int, sub int, vec_id long, v binary, floor float, links binary, own binary"
+
+
+def _builder(shared, k: int, dim: int, least: float):
+    """A shard's vectors with their links and nearest of the shard, and copies for the other shards to be searched."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        centers, _ = shared.value
+        cells = shared.value
+        cell, sub = int(pdf["cell"].iloc[0]), int(pdf["sub"].iloc[0])
         ids, first = np.unique(pdf["vec_id"].to_numpy(), return_index=True)
-        v = np.frombuffer(b"".join(pdf["v"].to_numpy()[first]), dtype=np.float32).reshape(-1, dim)
-        cell = int(pdf["cell"].iloc[0])
-        _, sims = Graph(v).search(v, k + 1, EF, OWN_STEPS, np.arange(len(v)))  # each also finds itself
-        floors = np.maximum(sims[:, k], np.float32(least)) - np.float32(SLACK)
-        cells = np.zeros(len(centers), bool)
-        for a in range(0, len(v), BATCH):
-            cells |= open_cells(v[a : a + BATCH], cell, floors[a : a + BATCH], centers).any(0)
-        cells[cell] = True
-        return pd.DataFrame({"cell": [cell], "salt": [int(pdf["salt"].iloc[0])], "ids": [ids.astype(np.int64).tobytes()], "vectors": [v.tobytes()], "floors": [floors.tobytes()], "cells": [np.flatnonzero(cells).astype(np.int32)]})
+        blobs = pdf["v"].to_numpy()[first]
+        v = _stack(blobs, np.float32, dim)
+        g = Graph(v)
+        own, sims = g.search_own(k)
+        floors = np.maximum(sims[:, k - 1], np.float32(least))
+        home = pd.DataFrame({
+            "cell": np.int32(cell), "sub": np.int32(sub), "vec_id": ids, "v": blobs, "floor": floors, "links": _blobs(g.levels[0][2]), "own": _blobs(own.astype(np.int32)),
+        })
+        parts = [cells.routes(v[a : a + BATCH], cell, sub, floors[a : a + BATCH]) for a in range(0, len(v), BATCH)]
+        r = np.concatenate([p[0] + a for p, a in zip(parts, range(0, len(v), BATCH))])
+        away = pd.DataFrame({
+            "cell": np.concatenate([p[1] for p in parts]).astype(np.int32), "sub": np.concatenate([p[2] for p in parts]).astype(np.int32),
+            "vec_id": ids[r], "v": blobs[r], "floor": floors[r], "links": None, "own": None,
+        })
+        return pd.concat((home, away), ignore_index=True) if len(away) else home
 
     return run
 
 
-class Best:
-    """The k best others of a shard's vectors over all shards seen so far."""
+def _searcher(k: int, dim: int, least: float):
+    """What a shard's vectors found at home, and what the vectors of other shards find here over their floors."""
 
-    def __init__(self, ids: np.ndarray, floors: np.ndarray, k: int):
-        self.ids, self.floors, self.k = ids, floors.copy(), k
-        self.others = np.full((len(ids), k), -1, np.int64)
-        self.cosines = np.full((len(ids), k), -2.0)
-
-    def see(self, v: np.ndarray, rows: np.ndarray, other_ids: np.ndarray, others: np.ndarray) -> None:
-        """Compare the vectors at ``rows`` with ``others``."""
-        step = max(1, 1_000_000 // max(1, len(others)))
-        for a in range(0, len(rows), step):
-            part = rows[a : a + step]
-            sims = v[part] @ others.T
-            lively = np.flatnonzero(sims.max(1) >= self.floors[part])
-            if not len(lively):
-                continue
-            part, sims = part[lively], sims[lively]
-            over = sims >= self.floors[part][:, None]
-            wide = int(over.sum(1).max())
-            if wide > 4 * self.k:
-                near = np.argpartition(-sims, min(self.k, sims.shape[1] - 1), axis=1)[:, : self.k + 1]  # one may be the vector itself
-                ok = np.take_along_axis(over, near, 1)
-            else:
-                r, c = np.nonzero(over)
-                near, ok = np.zeros((len(part), wide), np.int64), np.zeros((len(part), wide), bool)
-                col = np.arange(len(r)) - np.searchsorted(r, r)
-                near[r, col], ok[r, col] = c, True
-            ok &= other_ids[near] != self.ids[part][:, None]
-            exact = np.einsum("nd,nmd->nm", v[part].astype(np.float64), others[near].astype(np.float64))
-            ids = np.concatenate((self.others[part], np.where(ok, other_ids[near], -1)), 1)
-            cosines = np.concatenate((self.cosines[part], np.where(ok, exact, -2.0)), 1)
-            order = np.lexsort((ids, -cosines), axis=1)[:, : self.k]
-            self.others[part], self.cosines[part] = np.take_along_axis(ids, order, 1), np.take_along_axis(cosines, order, 1)
-            self.floors[part] = np.maximum(self.floors[part], (self.cosines[part, -1] - SLACK).astype(np.float32))
-
-
-def _comparer(shared, k: int, dim: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centers, _ = shared.value
-        best: dict[tuple[int, int], Best] = {}
-        for pdf in batches:
-            for x in pdf.itertuples(index=False):
-                v = np.frombuffer(x.vectors, np.float32).reshape(-1, dim)
-                b = best.setdefault((x.cell, x.salt), Best(np.frombuffer(x.ids, np.int64), np.frombuffer(x.floors, np.float32), k))
-                rows = np.arange(len(v))
-                if x.other_cell != x.cell:
-                    two = centers[[x.cell, x.other_cell]]
-                    rows = np.flatnonzero(open_cells(v, 0, b.floors, two)[:, 1])
-                b.see(v, rows, np.frombuffer(x.other_ids, np.int64), np.frombuffer(x.other_vectors, np.float32).reshape(-1, dim))
-        for b in best.values():
-            r, j = np.nonzero(b.cosines > -1.5)
-            yield pd.DataFrame({"vec_id": b.ids[r], "other": b.others[r, j], "cosine": b.cosines[r, j]})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at_home = pdf["links"].notna().to_numpy()
+        home = pdf[at_home].sort_values("vec_id")
+        if not len(home):
+            return pd.DataFrame({"vec_id": np.empty(0, np.int64), "other": np.empty(0, np.int64), "cosine": np.empty(0)})
+        ids, v = home["vec_id"].to_numpy(), _stack(home["v"].to_numpy(), np.float32, dim)
+        own = _stack(home["own"].to_numpy(), np.int32, k)
+        r, j = np.nonzero(own >= 0)
+        found = [(ids[r], ids[own[r, j]], np.einsum("nd,nd->n", v[r].astype(np.float64), v[own[r, j]].astype(np.float64)))]
+        away = pdf[~at_home]
+        if len(away):
+            g = Graph(v, base=_stack(home["links"].to_numpy(), np.int32, 2 * DEGREE))
+            q, asked = _stack(away["v"].to_numpy(), np.float32, dim), away["vec_id"].to_numpy()
+            at, sims = g.search(q, k)
+            r, j = np.nonzero((at >= 0) & (sims > away["floor"].to_numpy()[:, None] - SLACK))
+            found.append((asked[r], ids[at[r, j]], np.einsum("nd,nd->n", q[r].astype(np.float64), v[at[r, j]].astype(np.float64))))
+        a, b, cosine = (np.concatenate(x) for x in zip(*found))
+        keep = (cosine > least) & (a != b)
+        return pd.DataFrame({"vec_id": a[keep], "other": b[keep], "cosine": cosine[keep]})
 
     return run
 
@@ -364,23 +485,21 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = DIM)
     n_cells = min(MAX_CELLS, max(1, -(-n // CELL_ROWS)))
     share = min(1.0, FIT_ROWS / max(1, n))
     picked = nodes.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("embedding").limit(FIT_ROWS).toPandas()
-    sample = _matrix(picked["embedding"], dim)
-    centers = fit_cells(sample, n_cells)
-    at = np.argmax(sample @ centers.T, 1) if len(sample) else np.empty(0, int)
-    counts = np.bincount(at, minlength=len(centers)) / max(share, 1e-9)
-    parts = np.maximum(1, np.ceil(counts / SHARD_ROWS)).astype(np.int64)
-    shared = spark.sparkContext.broadcast((centers, parts))
-    assigned = nodes.mapInPandas(_assigner(shared, dim), "cell int, salt int, vec_id long, v binary")
+    centers = fit_cells(_matrix(picked["embedding"], dim), n_cells)
+    counts = np.zeros(len(centers))
+    if len(centers) > 1 or n > SHARD_ROWS:
+        context = spark.sparkContext.broadcast(centers)
+        # at most MAX_CELLS sums reach the driver
+        for r in nodes.select("embedding").mapInPandas(_counter(context, dim), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            counts[r.cell] = r.n
+    cells = Cells(centers, counts)
+    shared = spark.sparkContext.broadcast(cells)
+    assigned = nodes.mapInPandas(_assigner(shared, dim), "cell int, sub int, vec_id long, v binary")
     # the number of tasks follows the number of shards, so a task's input is bounded at every size
-    shards = int(parts.sum())
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 4))
-    packed = cut_lineage(
-        assigned.repartition(tasks, "cell", "salt").groupBy("cell", "salt")
-        .applyInPandas(_packer(shared, k, dim, least), "cell int, salt int, ids binary, vectors binary, floors binary, cells array<int>")
-    )
-    others = packed.select(F.col("cell").alias("other_cell"), F.col("ids").alias("other_ids"), F.col("vectors").alias("other_vectors")).coalesce(-(-shards // SIDE_SHARDS))
-    pairs = packed.join(others.hint("shuffle_replicate_nl"), F.expr("array_contains(cells, other_cell)")).drop("cells")
-    hits = pairs.mapInPandas(_comparer(shared, k, dim), "vec_id long, other long, cosine double")
+    shards = int((1 << cells.planes).sum())
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * shards)
+    routed = assigned.repartition(tasks, "cell", "sub").groupBy("cell", "sub").applyInPandas(_builder(shared, k, dim, least), ROUTED)
+    hits = routed.repartition(tasks, "cell", "sub").groupBy("cell", "sub").applyInPandas(_searcher(k, dim, least), "vec_id long, other long, cosine double")
     if groups.take(1):
         member = ids.join(groups_side, "h").select("h", "vec_id", "rep")
         first = member.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1).select("h", "rep", F.col("vec_id").alias("other"))
