@@ -45,12 +45,12 @@ from corvane.session import cut_lineage, small
 DIM = 64
 FIT_ROWS = 40_000
 """Bound of the sample that the coarse quantizer is fitted on."""
-CELL_ROWS = 12_000
+CELL_ROWS = 16_000
 SHARD_ROWS = 36_000
 """Cells of more vectors are cut by planes."""
 MAX_CELLS = 10_000
 """Bound of the broadcast centres (2.5 MB); a larger table has its cells cut by planes."""
-PROBE_WIDTH = 1.4
+PROBE_WIDTH = 1.2
 """How far off, in standard deviations of an isotropic displacement, a plane is still crossed."""
 DEGREE = 16
 NEAR = 28
@@ -58,14 +58,16 @@ NEAR = 28
 LEVEL_SHARE = 1 / 4
 TOP_ROWS = 1024
 """A level of no more vectors is the hierarchy's top and is scanned."""
-TREES, LEAF, DESCENTS = 9, 96, 1
-EF, STEPS = 24, 14
+TREES, LEAF, DESCENTS = 8, 96, 1
+EF, STEPS = 24, 12
 """Width and steps of the beam over level 0; vectors of the shard itself take ``OWN_STEPS``."""
-UPPER_EF, UPPER_STEPS = 20, 12
+UPPER_EF, UPPER_STEPS = 20, 10
 SLACK = 1e-5
 """What cosines in single precision may be off by."""
 OWN_STEPS = 6
-BATCH = 512
+BATCH = 256
+COPY_SCALE = 32_767
+"""Copies for other shards are sent with two bytes a dimension; their cosines are off by some 1e-5."""
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", dim: int = DIM) -> DataFrame:
@@ -408,6 +410,19 @@ def _blobs(m: np.ndarray) -> np.ndarray:
     return out
 
 
+def _links(m: np.ndarray) -> np.ndarray:
+    """A level's links as one blob per vector, two bytes a link where the shard allows."""
+    return _blobs(m.astype(np.uint16) if len(m) < 65_535 else m)
+
+
+def _level(blobs: np.ndarray) -> np.ndarray:
+    if len(blobs[0]) == 8 * DEGREE:
+        return _stack(blobs, np.int32, 2 * DEGREE)
+    m = _stack(blobs, np.uint16, 2 * DEGREE).astype(np.int32)
+    m[m == 65_535] = -1
+    return m
+
+
 def _stack(blobs: np.ndarray, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype=kind).reshape(-1, width)
 
@@ -428,13 +443,14 @@ def _builder(shared, k: int, dim: int, least: float):
         own, sims = g.search_own(k)
         floors = np.maximum(sims[:, k - 1], np.float32(least))
         home = pd.DataFrame({
-            "cell": np.int32(cell), "sub": np.int32(sub), "vec_id": ids, "v": blobs, "floor": floors, "links": _blobs(g.levels[0][2]), "own": _blobs(own.astype(np.int32)),
+            "cell": np.int32(cell), "sub": np.int32(sub), "vec_id": ids, "v": blobs, "floor": floors, "links": _links(g.levels[0][2]), "own": _blobs(own.astype(np.int32)),
         })
         parts = [cells.routes(v[a : a + BATCH], cell, sub, floors[a : a + BATCH]) for a in range(0, len(v), BATCH)]
+        sent = _blobs(np.rint(v * COPY_SCALE).astype(np.int16))
         r = np.concatenate([p[0] + a for p, a in zip(parts, range(0, len(v), BATCH))])
         away = pd.DataFrame({
             "cell": np.concatenate([p[1] for p in parts]).astype(np.int32), "sub": np.concatenate([p[2] for p in parts]).astype(np.int32),
-            "vec_id": ids[r], "v": blobs[r], "floor": floors[r], "links": None, "own": None,
+            "vec_id": ids[r], "v": sent[r], "floor": floors[r], "links": None, "own": None,
         })
         return pd.concat((home, away), ignore_index=True) if len(away) else home
 
@@ -455,8 +471,8 @@ def _searcher(k: int, dim: int, least: float):
         found = [(ids[r], ids[own[r, j]], np.einsum("nd,nd->n", v[r].astype(np.float64), v[own[r, j]].astype(np.float64)))]
         away = pdf[~at_home]
         if len(away):
-            g = Graph(v, base=_stack(home["links"].to_numpy(), np.int32, 2 * DEGREE))
-            q, asked = _stack(away["v"].to_numpy(), np.float32, dim), away["vec_id"].to_numpy()
+            g = Graph(v, base=_level(home["links"].to_numpy()))
+            q, asked = _stack(away["v"].to_numpy(), np.int16, dim).astype(np.float32) / np.float32(COPY_SCALE), away["vec_id"].to_numpy()
             at, sims = g.search(q, k)
             r, j = np.nonzero((at >= 0) & (sims > away["floor"].to_numpy()[:, None] - SLACK))
             found.append((asked[r], ids[at[r, j]], np.einsum("nd,nd->n", q[r].astype(np.float64), v[at[r, j]].astype(np.float64))))
