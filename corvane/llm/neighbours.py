@@ -58,16 +58,16 @@ NEAR = 28
 LEVEL_SHARE = 1 / 4
 TOP_ROWS = 1024
 """A level of no more vectors is the hierarchy's top and is scanned."""
-TREES, LEAF, DESCENTS = 8, 96, 1
-EF, STEPS = 24, 12
+TREES, LEAF, DESCENTS = 6, 96, 1
+EF, STEPS = 24, 10
 """Width and steps of the beam over level 0; vectors of the shard itself take ``OWN_STEPS``."""
-UPPER_EF, UPPER_STEPS = 20, 10
+UPPER_EF, UPPER_STEPS = 20, 8
 SLACK = 1e-5
 """What cosines in single precision may be off by."""
 OWN_STEPS = 6
 BATCH = 256
-COPY_SCALE = 32_767
-"""Copies for other shards are sent with two bytes a dimension; their cosines are off by some 1e-5."""
+SCALE = 32_767
+"""Unit vectors are shuffled with two bytes a dimension; cosines are off by some 1e-5."""
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", dim: int = DIM) -> DataFrame:
@@ -387,7 +387,7 @@ def _assigner(shared, dim: int):
                 continue
             v = _matrix(pdf["embedding"], dim)
             cell = cells.own(v)
-            yield pd.DataFrame({"cell": cell.astype(np.int32), "sub": cells.sub(v, cell).astype(np.int32), "vec_id": pdf["vec_id"].to_numpy(), "v": _blobs(v)})
+            yield pd.DataFrame({"cell": cell.astype(np.int32), "sub": cells.sub(v, cell).astype(np.int32), "vec_id": pdf["vec_id"].to_numpy(), "v": _blobs(np.rint(v * SCALE).astype(np.int16))})
 
     return run
 
@@ -427,6 +427,12 @@ def _stack(blobs: np.ndarray, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype=kind).reshape(-1, width)
 
 
+def _vectors(blobs: np.ndarray, dim: int) -> np.ndarray:
+    """Unit vectors as they were shuffled."""
+    m = _stack(blobs, np.int16, dim).astype(np.float32)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 ROUTED = "cell int, sub int, vec_id long, v binary, floor float, links binary, own binary"
 
 
@@ -438,7 +444,7 @@ def _builder(shared, k: int, dim: int, least: float):
         cell, sub = int(pdf["cell"].iloc[0]), int(pdf["sub"].iloc[0])
         ids, first = np.unique(pdf["vec_id"].to_numpy(), return_index=True)
         blobs = pdf["v"].to_numpy()[first]
-        v = _stack(blobs, np.float32, dim)
+        v = _vectors(blobs, dim)
         g = Graph(v)
         own, sims = g.search_own(k)
         floors = np.maximum(sims[:, k - 1], np.float32(least))
@@ -446,11 +452,10 @@ def _builder(shared, k: int, dim: int, least: float):
             "cell": np.int32(cell), "sub": np.int32(sub), "vec_id": ids, "v": blobs, "floor": floors, "links": _links(g.levels[0][2]), "own": _blobs(own.astype(np.int32)),
         })
         parts = [cells.routes(v[a : a + BATCH], cell, sub, floors[a : a + BATCH]) for a in range(0, len(v), BATCH)]
-        sent = _blobs(np.rint(v * COPY_SCALE).astype(np.int16))
         r = np.concatenate([p[0] + a for p, a in zip(parts, range(0, len(v), BATCH))])
         away = pd.DataFrame({
             "cell": np.concatenate([p[1] for p in parts]).astype(np.int32), "sub": np.concatenate([p[2] for p in parts]).astype(np.int32),
-            "vec_id": ids[r], "v": sent[r], "floor": floors[r], "links": None, "own": None,
+            "vec_id": ids[r], "v": blobs[r], "floor": floors[r], "links": None, "own": None,
         })
         return pd.concat((home, away), ignore_index=True) if len(away) else home
 
@@ -465,14 +470,14 @@ def _searcher(k: int, dim: int, least: float):
         home = pdf[at_home].sort_values("vec_id")
         if not len(home):
             return pd.DataFrame({"vec_id": np.empty(0, np.int64), "other": np.empty(0, np.int64), "cosine": np.empty(0)})
-        ids, v = home["vec_id"].to_numpy(), _stack(home["v"].to_numpy(), np.float32, dim)
+        ids, v = home["vec_id"].to_numpy(), _vectors(home["v"].to_numpy(), dim)
         own = _stack(home["own"].to_numpy(), np.int32, k)
         r, j = np.nonzero(own >= 0)
         found = [(ids[r], ids[own[r, j]], np.einsum("nd,nd->n", v[r].astype(np.float64), v[own[r, j]].astype(np.float64)))]
         away = pdf[~at_home]
         if len(away):
             g = Graph(v, base=_level(home["links"].to_numpy()))
-            q, asked = _stack(away["v"].to_numpy(), np.int16, dim).astype(np.float32) / np.float32(COPY_SCALE), away["vec_id"].to_numpy()
+            q, asked = _vectors(away["v"].to_numpy(), dim), away["vec_id"].to_numpy()
             at, sims = g.search(q, k)
             r, j = np.nonzero((at >= 0) & (sims > away["floor"].to_numpy()[:, None] - SLACK))
             found.append((asked[r], ids[at[r, j]], np.einsum("nd,nd->n", q[r].astype(np.float64), v[at[r, j]].astype(np.float64))))
@@ -527,7 +532,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = DIM)
         hits = to.join(mine, to.vec_id == mine.r, "left").select(F.coalesce("copy", "vec_id").alias("vec_id"), "other", "cosine").unionByName(copies)
     best = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "other")
     return (
-        hits.where((F.col("cosine") > least) & (F.col("vec_id") != F.col("other"))).dropDuplicates(["vec_id", "other"])
+        hits.where((F.col("cosine") > least) & (F.col("vec_id") != F.col("other"))).repartition("vec_id").dropDuplicates(["vec_id", "other"])  # one exchange for both
         .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     )
 

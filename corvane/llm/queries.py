@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbours.nearest(table(spark, sf, "index_vectors"), 5).select("vec_id", "other", F.round("cosine", 6).alias("cosine"), "rank")
+    return neighbours.nearest(table(spark, sf, "index_vectors"), 5).select("vec_id", "other", F.round("cosine", 4).alias("cosine"), "rank")
 
 
 def p1_recall(spark: SparkSession, sf: str) -> DataFrame:
