@@ -1,12 +1,14 @@
 """Problem 2: credentials in source code and prose, found and masked in place.
 
-A candidate is a literal at a place where secrets stand: the value of an assignment,
-key or header, a default of a lookup, a login in a URL, the object of a sentence about
-passwords, or any literal made like a key.  Whether it is usable as a secret is decided
-by how unnatural it is, measured as characters per subword under a public vocabulary
-(a word of a language or an identifier costs few subwords, a random string many),
-together with rules of context: the name's last words, placeholders, names of fields,
-digests, ids and public keys.
+A secret is a string that is unnatural for the place it stands in.  How natural a string is,
+is measured as characters per subword under a public vocabulary (a word of a language
+or an identifier costs few subwords, a random string many), and nothing is reported that
+does not pass the measure: under ``UNNATURAL`` a string is a candidate anywhere, up to ``STRAINED``
+(words glued by digits and symbols, as in passphrases) only where its place says that it is
+secret: the value of an assignment, key or header, a default of a lookup, a login in a
+URL, the object of a sentence about passwords.  Every literal is measured, also where nothing
+names it.  Rules of context then reject placeholders, names of fields, digests, ids,
+public keys and rows of data.
 
 Masking replaces every character of the secret by ``*``: offsets, line ends, quotes and
 escapes stay, so code still parses and other offsets stay true.
@@ -33,6 +35,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 UNNATURAL = 2.6
 """Characters per subword below which a string counts as unnatural (English and identifiers: 3.5 to 6; random: 1.3 to 2.2)."""
+STRAINED = 3.8
+"""The same in a place that says it holds a secret, for strings with digits or symbols."""
+PLAIN = 2.0
+"""The same for strings of letters and separators only, which otherwise name a field, a header or a variable."""
+RANDOM = 2.0
+"""The same for a literal that nothing names and for issued tokens."""
 
 
 class Secret(NamedTuple):
@@ -76,7 +84,7 @@ _URL = re.compile(r"://(?P<user>[^\s:/@\"'`<>]*):(?P<value>[^\s@/\"'`]{3,})@(?=[
 _BASIC = re.compile(r"[Bb]asic +(?P<value>[A-Za-z0-9+/]{8,}={0,2})")
 _BEARER = re.compile(r"[Bb]earer +(?P<value>[\w.~+/=-]{12,})")
 _CURL = re.compile(r"(?:-u|--user)[ =]['\"]?(?P<user>[^\s:'\"]+):(?P<value>[^\s'\"]{4,})")
-_CALL = re.compile(r"(?:[lL]og_?[iI]n|[sS]ign_?[iI]n|[aA]uthenticate|[cC]onnect|[cC]redentials?)\s*\(\s*[\"'`][^\"'`\n]{1,60}[\"'`]\s*,\s*[\"'`](?P<value>[^\"'`\n]{4,200})[\"'`]")
+_CALL = re.compile(r"(?:[lL]og_?[iI]n|[sS]ign_?[iI]n|[aA]uthenticate|[cC]onnect|[cC]redentials?)\s*\(\s*[\"'`][^\"'`\n]+[\"'`]\s*,\s*(?P<q>\\?[\"'`])")
 
 #: Where a name or word about secrets may stand; what follows is matched from there only.
 _ANCHOR_WORDS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "cred", "kennwort", "contrase", "mdp", "haslo", "hasło", "парол")
@@ -84,16 +92,16 @@ _TELLING_WORDS = ("log in", "login", "use", "carry", "carries", "call", "sign",
 _CALL_WORDS = ("login", "log_in", "signin", "sign_in", "authenticate", "connect", "credential")
 _BEFORE = re.compile(r"[\w$.-]*\Z")
 _AFTER = re.compile(r"[\w$.-]*")
-_QUOTED = r"(?P<q>\\?[\"'`])(?P<value>(?:(?!(?P=q))[^\n]){4,400}?)(?P=q)"
+_QUOTED = r"(?P<q>\\?[\"'`])"
 #: ``= "value"``, ``: "value"``, ``: &str = "value"``, ``"] = "value"`` and the like behind a name.
-_ASSIGNED = re.compile(r"\\?[\"'`]?\]?(?:\[\d*\])?\s*[?!]?\s*(?:: *[&'\w\[\]<>., *]{1,40}?(?==))?(?::=|=>|=(?!=)|:(?!:))\s*(?:(?:concat!|String::from|SecretStr|Secret|String|bytes|str)\s*)?\(?\s*(?:[a-zA-Z]{0,2}(?=[\"'`\\]))" + _QUOTED)
+_ASSIGNED = re.compile(r"\\?[\"'`]?\]?(?:\[\d*\])?\s*[?!]?\s*(?:: *[&'\w\[\]<>., *]+?(?==))?(?::=|=>|=(?!=)|:(?!:))\s*(?:(?:concat!|String::from|SecretStr|Secret|String|bytes|str)\s*)?\(?\s*(?:[a-zA-Z]{0,2}(?=[\"'`\\]))" + _QUOTED)
 #: ``NAME", "default")``, ``NAME'] || 'default'`` and the like.
 _DEFAULT = re.compile(r"(?:[\"'`]\s*[\])]{0,2}\s*(?:,|\|\||\?\?|\bor\b|\.unwrap_or(?:_else)?\(\s*(?:\|\|\s*)?)|\s*(?:\|\||\?\?))\s*" + _QUOTED)
 _PLAIN = re.compile(r"[ \t]*(?:=(?!=)|:(?!:))[ \t]*(?P<value>[^\s\"'`(){}\[\]<>,;]{6,})(?P<after>[ \t]*[;,]?\r?(?:\n|\Z))?")
 #: What may stand between a word like "password" and the secret it tells.
-_TOLD = re.compile(r"s?(?:[ \t]+(?:is|was|are|now|still|of|for|to|the|set|be|value|here))*[ \t]*[:=]?[ \t]*[`'\"]?(?P<value>[^\s`'\"<>{}()\[\]]{6,4000})")
+_TOLD = re.compile(r"s?(?:[ \t]+(?:is|was|are|now|still|of|for|to|the|set|be|value|here))*[ \t]*[:=]?[ \t]*[`'\"]?(?P<value>[^\s`'\"<>{}()\[\]]{6,})")
 _TELLING = re.compile(
-    r"\b(?:[lL]og ?in (?:was|is|as|with)[ \t]+`?[\w.@-]+`?[ \t]*(?:/|:|with|and)[ \t]*[`'\"]?|(?:[uU]ses?|[cC]arr(?:y|ies)|[cC]alls? with|[sS]igns? \w+ with|[sS]ends?|[tT]ry (?:it )?with)[ \t]+[`'\"]?)(?P<value>[^\s`'\"<>{}()\[\]]{6,4000})"
+    r"\b(?:[lL]og ?in (?:was|is|as|with)[ \t]+`?[\w.@-]+`?[ \t]*(?:/|:|with|and)[ \t]*[`'\"]?|(?:[uU]ses?|[cC]arr(?:y|ies)|[cC]alls? with|[sS]igns? \w+ with|[sS]ends?|[tT]ry (?:it )?with)[ \t]+[`'\"]?)(?P<value>[^\s`'\"<>{}()\[\]]{6,})"
 )
 _SECRET_TOPIC = re.compile(r"(?i)vault|password|secret|token|bearer|credential|log ?in|api|\bkey\b|sign|until|rotate")
 
@@ -115,7 +123,7 @@ _PLACEHOLDER = re.compile(
     r"|(?:your|my|the|insert|put|enter|replace|change|fill|add|use|some|any)[-_. ]?\w*[-_. ]*(?:me|here|token|key|secret|password|pass|this|it|value|api)[\w. -]*"
     r"|(?:example|sample|dummy|fake|test|demo|default|placeholder|redacted|removed|hidden|masked|secret|password|passwd|changeme|letmein|foo|bar|baz|qwerty|user|username|admin|root|guest|pass|pwd|token|key|apikey|value|string)\d{0,4}!?)$"
 )
-_FIELD = re.compile(r"^[A-Za-z][A-Za-z]*(?:[._ /:-][A-Za-z]+)*$")
+_NUMBERED = re.compile(r"^[A-Za-z]+(?:_[A-Za-z]+)*_?\d{0,2}$")
 _IDENTIFIER = re.compile(r"^[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)*\(?\)?[;,.]?$")
 _HEX = re.compile(r"^(?:sha\d*[-:])?[0-9a-fA-F]{16,}$")
 _UUID = re.compile(r"^\{?[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\}?$")
@@ -159,17 +167,49 @@ def usable(value: str, named: bool, vocabulary: str = VOCABULARY) -> bool:
         return False
     if re.search(r"(?i)^(?:your|my)[-_ ]|[-_ ]here$|replace[-_ ]?me|change[-_ ]?me|placeholder|redacted", value):
         return False
-    if _FIELD.match(value):  # words only: natural ones name a field, the others are random
-        return named and len(value) >= 12 and not re.search(r"[._ /:-]", value) and chars_per_subword(value, vocabulary) < UNNATURAL - 0.4
+    natural = chars_per_subword(value, vocabulary)
+    if natural >= (STRAINED if named else UNNATURAL):
+        return False
     if _HEX.match(value):
         return named
     if re.match(r"^[./~\\]|^\w+\.(?:\w{1,4})$", value) and not _mixed(value):
         return False
     if named:
-        if re.match(r"^[A-Za-z]+(?:_[A-Za-z]+)*_?\d{0,2}$", value):  # an identifier
-            return chars_per_subword(value, vocabulary) < UNNATURAL - 0.6
-        return bool(re.search(r"\d|[!@#$%^&*+=~?]", value)) and (re.search(r"[A-Za-z]", value) is not None or len(value) >= 8)
-    return _mixed(value) and chars_per_subword(value, vocabulary) < UNNATURAL
+        made = re.search(r"\d\W*$|[!@#$%^&*+=~?]|\d.*\d", value) is not None and not _NUMBERED.match(value)
+        return natural < (STRAINED if made else PLAIN)
+    return _mixed(value)
+
+
+def _literal(text: str, m: re.Match | None) -> tuple[int, str] | None:
+    """(start, value) of the literal whose opening quote ends ``m``: to the same quote on the same line, however far."""
+    if m is None:
+        return None
+    q, start = m.group("q"), m.end("q")
+    end = text.find(q, start)
+    while end > start and len(q) == 1 and text[end - 1] == "\\" and (end - len(text[start:end].rstrip("\\")) - start) % 2:
+        end = text.find(q, end + 1)
+    if end < start + 4 or text.find("\n", start, end) >= 0:
+        return None
+    return start, text[start:end]
+
+
+_RANDOM_LITERAL = re.compile(r"(?P<q>[\"'`])(?P<value>[A-Za-z0-9_+/.~!@#$%^&*-]{16,}={0,2})(?P=q)")
+_CALLED = re.compile(r"[\w\])>]\s*\(\s*(?:[^()\"'`\n]*,\s*)?\Z|(?:=|:=)\s*\Z")
+_ABOUT_LINE = re.compile(
+    r"(?i)(?:sha-?\d*|md5|digest|checksum|hash|commit|revision|uuid|guid|integrity|fingerprint|nonce|etag|public|pub_?key|cursor|trace|span|\bids?\b|_id\b|[a-z]Id\b|version|seed|salt|alphabet|chars|charset"
+    r"|data|blob|base64|b64|png|jpe?g|image|font|wasm|table|expect|assert|example|sample|fixture|regex|pattern)"
+)
+
+
+def _unnamed(text: str, vocabulary: str) -> Iterator[tuple[int, str]]:
+    """Random literals that nothing names: an argument or value on a line that doesn't speak of ids, digests or data."""
+    for m in _RANDOM_LITERAL.finditer(text):
+        value, start = m.group("value"), m.start()
+        if not (re.search(r"\d", value) and re.search(r"[a-z]", value) and re.search(r"[A-Z]", value)) or chars_per_subword(value, vocabulary) >= RANDOM:
+            continue
+        line = text[text.rfind("\n", 0, start) + 1 : start]
+        if _CALLED.search(line) and not _ABOUT_LINE.search(line) and not text.startswith((",", "\n\"", "\n'"), m.end()) and usable(value, False, vocabulary):
+            yield m.start("value"), value
 
 
 def _places(text: str, words: tuple[str, ...]) -> list[tuple[int, int]]:
@@ -197,14 +237,14 @@ def find_secrets(text: str, vocabulary: str = VOCABULARY) -> list[Secret]:
     if "-----BEGIN" in text:
         for m in _BLOCK.finditer(text):
             body = re.sub(r"\\[nr]|[\s\"'+,\\.*/#>|-]", "", m.group("body"))
-            if len(body) >= 24 and len(set(body)) > 10:
+            if len(body) >= 24 and len(set(body)) > 10 and chars_per_subword(body, vocabulary) < UNNATURAL:
                 add(m.start(), m.group(), "private key")
     if "://" in text:
         for m in _URL.finditer(text):
             value = m.group("value")
             plain = re.sub(r"%[0-9A-Fa-f]{2}", "x", value)
             if not _PLACEHOLDER.match(value) and "${" not in value and not value.startswith(("$", "{", "<", "%")):
-                if re.search(r"\d|[A-Z]|[!#~._-]", plain) or chars_per_subword(plain, vocabulary) < UNNATURAL:
+                if chars_per_subword(plain, vocabulary) < (STRAINED if re.search(r"\d|[A-Z]|[!#~._-]", plain) else UNNATURAL):
                     add(m.start("value"), value, "login in a URL")
     if "asic " in text:
         for m in _BASIC.finditer(text):
@@ -213,12 +253,12 @@ def find_secrets(text: str, vocabulary: str = VOCABULARY) -> list[Secret]:
             except (binascii.Error, UnicodeDecodeError, ValueError):
                 continue
             user, colon, value = said.partition(":")
-            if colon and user.isprintable() and value.isprintable() and len(value) >= 3 and not _PLACEHOLDER.match(value):
+            if colon and user.isprintable() and value.isprintable() and len(value) >= 3 and not _PLACEHOLDER.match(value) and chars_per_subword(m.group("value"), vocabulary) < UNNATURAL:
                 add(m.start("value"), m.group("value"), "login in a header")
     if "earer " in text:
         for m in _BEARER.finditer(text):
             value = m.group("value").rstrip(".")
-            if usable(value, False, vocabulary) or _ISSUED.match(value):
+            if usable(value, False, vocabulary) or _ISSUED.match(value) and chars_per_subword(value, vocabulary) < RANDOM:
                 add(m.start("value"), value, "token in a header")
     if "-u" in text:
         for m in _CURL.finditer(text):
@@ -235,27 +275,28 @@ def find_secrets(text: str, vocabulary: str = VOCABULARY) -> list[Secret]:
         if m is None or m.end() < len(text) and (text[m.end()].isalnum() or text[m.end()] == "_"):
             continue
         value = m.group()
-        if len(set(value)) < 8 or re.search(r"(?i)example|x{5}|your|placeholder", value) or not re.search(r"\d|[a-z][A-Z]", value):
+        if chars_per_subword(value, vocabulary) >= RANDOM or len(set(value)) < 8 or re.search(r"(?i)example|x{5}|your|placeholder", value) or not re.search(r"\d|[a-z][A-Z]", value):
             continue
         if _ABOUT_BEFORE.search(text[max(0, start - 40) : start]):
             continue
-        if "." in value and not value.startswith(("eyJ", "SG.", "ya29.")) and (chars_per_subword(value, vocabulary) >= UNNATURAL or not re.search(r"\d", value)):
+        if "." in value and not value.startswith(("eyJ", "SG.", "ya29.")) and not re.search(r"\d", value):
             continue
         add(start, value, "issued token")
     done = -1
     for first, last in _places(lower, _ANCHOR_WORDS):
         if first < done:
             continue
-        start = first - len(_BEFORE.search(text[max(0, first - 80) : first]).group())
-        end = done = _AFTER.match(text, last, last + 80).end()
+        start, back = first, 80
+        while start > 0 and first - start < back and (text[start - 1].isalnum() or text[start - 1] in "_$.-"):
+            start -= 1
+            back += start > max(done, 0)
+        end = done = _AFTER.match(text, last).end()
         name = text[start:end].rstrip(".-").rsplit(".", 1)[-1]
         if says_secret(name):
-            m = _ASSIGNED.match(text, end) or _DEFAULT.match(text, end)
-            if m is not None:
-                value = m.group("value")
-                if usable(value, True, vocabulary):
-                    add(m.start("value"), value, "named value")
-                    continue
+            got = _literal(text, _ASSIGNED.match(text, end) or _DEFAULT.match(text, end))
+            if got is not None and usable(got[1], True, vocabulary):
+                add(*got, "named value")
+                continue
             m = _PLAIN.match(text, end)
             if m is not None:
                 value = m.group("value").rstrip(".")
@@ -271,9 +312,9 @@ def find_secrets(text: str, vocabulary: str = VOCABULARY) -> list[Secret]:
                 add(m.start("value"), m.group("value").rstrip(".,;:"), "told in prose")
     if "(" in text:
         for first, _ in _places(lower, _CALL_WORDS):
-            m = _CALL.match(text, first)
-            if m is not None and usable(m.group("value"), True, vocabulary):
-                add(m.start("value"), m.group("value"), "login of a call")
+            got = _literal(text, _CALL.match(text, first))
+            if got is not None and usable(got[1], True, vocabulary):
+                add(*got, "login of a call")
     for first, _ in _places(lower, _TELLING_WORDS):
         m = _TELLING.match(text, first)
         if m is None:
@@ -281,6 +322,8 @@ def find_secrets(text: str, vocabulary: str = VOCABULARY) -> list[Secret]:
         line = text[text.rfind("\n", 0, m.start()) + 1 : (text.find("\n", m.end()) + 1 or len(text) + 1) - 1]
         if _SECRET_TOPIC.search(line.replace(m.group("value"), " ")) and _told(text, m, m.group().lower().startswith(("log", "try")), vocabulary):
             add(m.start("value"), m.group("value").rstrip(".,;:"), "told in prose")
+    for start, value in _unnamed(text, vocabulary):
+        add(start, value, "random literal")
     # the earliest wins where spans overlap
     out: list[Secret] = []
     for s in sorted(found, key=lambda s: (s.start, -s.end)):
@@ -292,19 +335,22 @@ def find_secrets(text: str, vocabulary: str = VOCABULARY) -> list[Secret]:
 def _told(text: str, m: re.Match, strong: bool, vocabulary: str) -> bool:
     """Whether what stands behind a telling word is a secret; ``strong``: the word is about secrets."""
     value = m.group("value").rstrip(".,;:")
+    natural = chars_per_subword(value, vocabulary)
+    if natural >= STRAINED:
+        return False
     if len(value) < 6 or value[0] in "@-/#*=" or re.search(r"[/\\]|::|->|==|=>|\+=|\(|\$\{", value) or not re.search(r"\d|[!@#$%^&*?]", value):
         return False
     if re.fullmatch(r"[\w.-]+\.(?:py|js|ts|go|rs|java|c|cpp|h|md|json|ya?ml|toml|txt|proto3?|idl|schema|grammar|html?)\W*", value):
         return False
     if re.fullmatch(r"[A-Za-z]+(?:_[A-Za-z0-9]+)*", value):  # an identifier
-        return len(value) >= 12 and len(re.findall(r"\d", value)) >= 2 and chars_per_subword(value, vocabulary) < 2.2
+        return len(value) >= 12 and len(re.findall(r"\d", value)) >= 2 and natural < 2.2
     if _ABOUT_BEFORE.search(text[max(0, m.start("value") - 40) : m.start("value")]):
         return False
     if "=" in value[:-2] and _IDENTIFIER.match(value.split("=")[0]):
         return False
     if len(re.findall(r"\d", value)) >= 2 and len(value) >= 8 and _WORDY.match(value) and (strong or not _IDENTIFIER.match(value)):
         return True
-    return usable(value, strong and not _IDENTIFIER.match(value), vocabulary) and chars_per_subword(value, vocabulary) < UNNATURAL
+    return usable(value, strong and not _IDENTIFIER.match(value), vocabulary) and natural < UNNATURAL
 
 
 def mask(text: str, secrets: list[Secret]) -> str:

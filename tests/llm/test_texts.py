@@ -52,6 +52,25 @@ def test_split_literal_counts_at_its_first_line(spark):
     assert C.redacted(chunks, full).count() == 3
 
 
+@pytest.mark.parametrize("length", [401, 600, 5_000, 60_000])
+@pytest.mark.parametrize("form", ['api_token = "{}"', "db.connect('svc', '{}')", "the password is {} today", "SECRET_KEY={}\n"])
+def test_secrets_of_any_length_are_wholly_masked(length, form):
+    rng = random.Random(length)
+    value = "".join(rng.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKMNPQRSTUVWXYZ23456789") for _ in range(length))
+    text = form.format(value)
+    masked = C.mask(text, C.find_secrets(text))
+    assert masked == text.replace(value, "*" * length)
+
+
+def test_random_literals_need_no_name_and_the_measure_decides(monkeypatch):
+    assert [s.kind for s in C.find_secrets('foo("q9Zx7Lm2Vt8Rb4Ks1Wd6")')] == ["random literal"]
+    rows = "\n".join(f'    "q9Zx7Lm2Vt8Rb4Ks1Wd{k}",' for k in range(8))
+    for text in (f"X = [\n{rows}\n]", 'commit("q9Zx7Lm2Vt8Rb4Ks1Wd6")', 'use("sampleTextWith2Words")', 'request_id = "q9Zx7Lm2Vt8Rb4Ks1Wd6"'):
+        assert C.find_secrets(text) == []
+    monkeypatch.setattr(C, "chars_per_subword", lambda text, vocabulary="": 9.0)
+    assert all(C.find_secrets(text) == [] for text in FOUND)
+
+
 def test_long_odd_texts_end_quickly():
     for text in ("password " + "a" * 60_000 + "1!", "key: " + "a-" * 20_000, "your" + "_x" * 20_000 + " token=", "-----BEGIN " * 2000, "://a:" * 5000, '"' * 20_000 + "secret=" + "'" * 20_000):
         C.find_secrets(text)
