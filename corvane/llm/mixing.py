@@ -2,16 +2,22 @@
 
 Every document has a membership in each target domain: 1 in its source if that is a target,
 else, where the source is unknown, the posteriors of a classifier fitted on labelled rows.
-Each document gets a rate between 0 and the cap of repeats of its likeliest domain.  The rates minimise
-the squared distance of the domains' expected token totals from their targets; they
-are found by projected gradient steps in dual form: a rate is a function of the membership
-and one price per domain, so an iteration is one aggregation over a narrow table of
-documents without a shuffle of rows, and only one number per domain reaches the driver.
-Rates become whole repeats with a hash of the document's key as its threshold, inside
-the iteration, so the totals steered are the ones that come out.
-
-The size of the mixture is the largest at which no domain that is present exceeds its
-cap: no record of the scarcest source is left out needlessly.  Shares of absent sources
+Each document has its own rate, between 0 and the cap of repeats of its likeliest domain.  The
+rates minimise the squared distance of the domains' expected token totals from their
+targets by projected gradient: an iteration moves every rate against the gradient, which is the
+membership-weighted residual of its domains, and projects it on [0, cap].  Rates are not stored
+between iterations but replayed from the few residual vectors so far, so an
+iteration is one pass over a narrow table without a shuffle of rows, and one number per
+domain reaches the driver.
+
+Rates become whole repeats by a hash of the document's key plus one shift per domain.  The shifts are
+searched ``SPLIT`` at a time until the tokens that really come out are the
+nearest to the target, that is within about half a document; a domain with a target that has
+any document gets at least one.
+
+The size of the mixture is the largest at which the targets that sources can't reach under
+their caps add up to no more than ``SHORTFALL`` of it, so neither is the scarcest source's
+share given up nor does it alone set the size.  Shares of absent sources
 are spread over the present ones in proportion and reported.
 
 Tokens are counted with a public vocabulary; the classifier is fitted on at most
@@ -41,8 +47,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FIT_ROWS = 20_000
 BUCKETS = 8192
-ITERATIONS = 40
-CLOSE = 2e-4
+ITERATIONS = 20
+CLOSE = 1e-5
+"""Distance from the targets, as a share of the size, at which the gradient steps end."""
+SHORTFALL = 0.005
+SPLIT, ROUNDS = 16, 5
+"""Shifts tried at once and times that the best one's surroundings are searched again."""
 _WORD = re.compile(r"\w+|[^\w\s]")
 
 
@@ -134,45 +144,100 @@ def mixture(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, k
     )
     memberships = F.map_filter(F.map_from_arrays(names, F.col("m")), lambda _, x: x > 0).alias("memberships")
     columns = ["doc_id", "source", "domain", "membership", memberships, "n_tokens"]
-    have = _sums(narrow, len(domains), F.lit(1))
-    present = [k for k in range(len(domains)) if have[k] > 0]
-    if not present:
-        return narrow.select(*columns, F.lit(0).alias("repeats")).limit(0)
-    share = np.array([wanted[domains[k]][0] for k in present])
-    share = share / share.sum()
     caps = np.array([float(wanted[d][1]) for d in domains])
-    tokens = have[present]
-    size = float(np.min(caps[present] * tokens / share))
-    goal = size * share
-    price = np.zeros(len(domains))
-    price[present] = goal / tokens  # the rate of a full member of each domain, the first guess
-    best, best_gap = price.copy(), np.inf
+    have = _totals(narrow, len(domains), caps, [], np.zeros((1, len(domains))), whole=None)[0]
+    present = np.flatnonzero(have > 0)
+    if not len(present):
+        return narrow.select(*columns, F.lit(0).alias("repeats")).limit(0)
+    share = np.zeros(len(domains))
+    share[present] = [wanted[domains[k]][0] for k in present]
+    share /= share.sum()
+    size = mixture_size(share[present], (caps * have)[present])
+    goal = np.minimum(size * share, caps * have)
+    steps: list[np.ndarray] = []
+    total = np.zeros(len(domains))
     for _ in range(ITERATIONS):
-        total = _sums(narrow, len(domains), _repeats(domains, price, caps))[present]
-        gap = float(np.max(np.abs(total - goal)) / size)
-        if gap < best_gap:
-            best, best_gap = price.copy(), gap
-        if gap < CLOSE:
+        if np.abs(total - goal).max() <= CLOSE * size:
             break
-        # the gradient of the squared distance, preconditioned by each domain's tokens; the rates are projected on [0, cap]
-        price[present] -= (total - goal) / tokens
-    return narrow.withColumn("repeats", _repeats(domains, best, caps)).where("repeats > 0").select(*columns, "repeats")
-
-
-def _repeats(domains: list[str], price: np.ndarray, caps: np.ndarray):
-    rate, cap = F.lit(0.0), F.lit(0.0)
-    for k, d in enumerate(domains):
-        rate = rate + F.get("m", F.lit(k)) * float(price[k])
-        cap = F.when(F.col("domain") == d, F.lit(float(caps[k]))).otherwise(cap)
-    return F.least(F.floor(F.greatest(rate, F.lit(0.0)) + F.col("u")), cap).cast("int")
-
-
-def _sums(narrow: DataFrame, n: int, repeats) -> np.ndarray:
-    """The tokens that count for each of ``n`` domains."""
+        # each domain's part of the gradient, preconditioned by its tokens; the rates are projected on [0, cap] after each step
+        steps.append((total - goal) / np.maximum(have, 1e-9) * (have > 0))
+        total = _totals(narrow, len(domains), caps, steps, np.zeros((1, len(domains))), whole=False)[0]
+    # whole repeats: the shift of every domain at which the tokens that come out are nearest to the goal
+    low, high = np.full(len(domains), -1.0), np.ones(len(domains))
+    best, best_gap = np.zeros(len(domains)), np.full(len(domains), np.inf)
+    for _ in range(ROUNDS):
+        tried = low + (high - low) * np.linspace(0.0, 1.0, SPLIT + 1)[:, None]
+        got = _totals(narrow, len(domains), caps, steps, tried, whole=True)
+        gap = np.where(got > 0, np.abs(got - goal), np.inf)
+        k = gap.argmin(0)
+        at = np.arange(len(domains))
+        better = gap[k, at] < best_gap
+        best, best_gap = np.where(better, tried[k, at], best), np.where(better, gap[k, at], best_gap)
+        first = np.clip((got < goal).sum(0), 1, SPLIT)  # totals rise with the shift: the goal lies between the last one below and the first one at it
+        low, high = tried[first - 1, at], tried[first, at]
+    repeated = _repeated(caps, steps, best)
+    return narrow.withColumn("repeats", repeated("m", "u")).where("repeats > 0").select(*columns, "repeats")
+
+
+def mixture_size(share: np.ndarray, most: np.ndarray) -> float:
+    """The largest size at which what sources lack of ``size * share`` adds up to at most ``SHORTFALL`` of it."""
+    ends = np.sort(most / share)
+    low, high = float(ends[0]), float(ends[-1])
+    for _ in range(60):  # the lack grows with the size
+        size = (low + high) / 2
+        if np.maximum(size * share - most, 0.0).sum() <= SHORTFALL * size:
+            low = size
+        else:
+            high = size
+    return low
+
+
+def rates(m: np.ndarray, cap: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """The documents' rates after the gradient steps, each projected on [0, cap]."""
+    out = np.zeros(len(m))
+    for step in steps:
+        out = np.clip(out - m @ step, 0.0, cap)
+    return out
+
+
+def _whole(m: np.ndarray, u: np.ndarray, caps: np.ndarray, steps: list[np.ndarray], shift: np.ndarray) -> np.ndarray:
+    domain = m.argmax(1)
+    rate = rates(m, caps[domain], steps)
+    return np.where(rate > 0, np.clip(np.floor(rate + u + shift[domain]), 0.0, caps[domain]), 0.0)
+
+
+def _repeated(caps: np.ndarray, steps: list[np.ndarray], shift: np.ndarray):
+    @F.pandas_udf("int")
+    def repeated(m: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series(_whole(np.stack(m.to_numpy()), u.to_numpy(), caps, steps, shift).astype("int32")) if len(m) else pd.Series([], dtype="int32")
+
+    return repeated
+
+
+def _totals(narrow: DataFrame, n: int, caps: np.ndarray, steps: list[np.ndarray], shifts: np.ndarray, whole: bool | None) -> np.ndarray:
+    """Per shift and domain the tokens by membership: of all documents (``whole`` None), at the rates, or at whole repeats."""
     if not n:
-        return np.zeros(0)
-    got = narrow.select("m", (repeats * F.col("n_tokens")).alias("t")).agg(*[F.sum(F.get("m", F.lit(k)) * F.col("t")).alias(f"d{k}") for k in range(n)]).first()
-    return np.array([float(x or 0.0) for x in got])
+        return np.zeros((len(shifts), 0))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((len(shifts), n))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            m, tokens = np.stack(pdf["m"].to_numpy()), pdf["n_tokens"].to_numpy(dtype=float)
+            if whole:
+                u = pdf["u"].to_numpy()
+                for k, shift in enumerate(shifts):
+                    out[k] += (_whole(m, u, caps, steps, shift) * tokens) @ m
+            else:
+                out[0] += ((np.ones(len(m)) if whole is None else rates(m, caps[m.argmax(1)], steps)) * tokens) @ m
+        yield pd.DataFrame({"k": np.arange(out.size), "t": out.ravel()})
+
+    got = narrow.select("m", "u", "n_tokens").mapInPandas(run, "k int, t double").groupBy("k").agg(F.sum("t").alias("t")).collect()  # a number per shift and domain
+    out = np.zeros(len(shifts) * n)
+    for row in got:
+        out[row.k] = row.t
+    return out.reshape(len(shifts), n)
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

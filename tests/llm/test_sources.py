@@ -3,6 +3,7 @@
 import ast
 import datetime as dt
 
+import numpy as np
 import pytest
 
 from corvane.llm import doc_pairs as D
@@ -189,3 +190,24 @@ def test_unsure_documents_count_for_every_domain(spark):
     unsure = mixed.where("source is null and membership < 0.9").collect()
     assert len(unsure) > 150 and all(abs(sum(r.memberships.values()) - 1) < 1e-6 and len(r.memberships) == 2 for r in unsure)
     assert all(abs(r.actual_share - 0.5) < 0.02 for r in M.shares(mixed, targets).collect())
+
+
+def test_scarce_sources_are_kept_and_do_not_set_the_size_alone(spark):
+    rows = [(n, "word " * (40 + n % 30), s) for n, s in enumerate(["big"] * 400 + ["small"] * 50 + ["scarce"] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 2), ("scarce", 0.1, 4)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in M.shares(M.mixture(docs, targets), targets).collect()}
+    total = sum(r.n_tokens for r in got.values())
+    for r in got.values():
+        assert r.n_tokens > 0 and abs(r.n_tokens - r.target_share * total) <= 80
+    assert M.mixture_size(np.array([0.6, 0.3, 0.1]), np.array([600.0, 600.0, 10.0])) == pytest.approx(10 / (0.1 - M.SHORTFALL), rel=1e-6)
+
+
+def test_rates_are_projected_gradient_steps():
+    m = np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]])
+    tokens, cap, goal = np.array([100.0, 100.0, 100.0]), np.array([1.0, 2.0, 1.0]), np.array([90.0, 120.0])
+    steps, have = [], tokens @ m
+    for _ in range(40):
+        steps.append(((M.rates(m, cap, steps) * tokens) @ m - goal) / have)
+    r = M.rates(m, cap, steps)
+    assert np.allclose((r * tokens) @ m, goal, atol=0.5) and (r >= 0).all() and (r <= cap).all() and len(set(r.round(3))) == 3
