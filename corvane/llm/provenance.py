@@ -1,15 +1,19 @@
 """Problem 5: generated, minified, vendored and data files, by belief propagation over directory trees.
 
-Each file is a leaf of its index's directory tree.  Its own evidence (markers in the
-leading comments, file name, line and character statistics, numbered families of
+Each file is a leaf of its index's directory tree.  Its own evidence (markers in its
+leading and trailing comments, file name, line and character statistics, numbered families of
 functions, data literals, a library's banner, a body that also occurs in a vendored
-place) is a vector of log-potentials over the labels.  Parent and child are tied by a
-compatibility table: a vendored directory nearly always holds vendored files, while
-generated, minified and data files say less about their neighbours.  Trees make
-sum-product propagation exact: messages go up level by level, then down.
-
-Messages are sums by parent directory, so a directory with any number of files is
-pre-aggregated before the shuffle; text is never shuffled.
+place) is a vector of soft log-potentials over the labels; a directory's name is one too.
+Files of one directory and extension are siblings: they hang on one hidden node, which hangs on
+the directory, which hangs on its parent; each edge has its compatibility table, so evidence
+too weak to decide alone is decided by siblings, and what a vendored directory says reaches
+everything below it.  All this is a tree, on which sum-product propagation is exact.
+
+Messages of files are summed by sibling group and directory with partial aggregation, so only
+directories go on, and text is never shuffled.  A tree is propagated in blocks: a block is a
+subtree of at most ``BLOCK`` directories, done in one task in one pass; an index with more is cut into such
+subtrees, whose roots exchange one message each with the directories above them
+(few: each has over ``BLOCK`` below it).  The number of jobs does not depend on the depth.
 
 Defined results: null code has no content evidence; an empty file is handwritten unless
 its place says otherwise; a file below a directory named in ``ignored_dirs`` is always
@@ -20,35 +24,44 @@ either separator.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.session import cut_lineage
+from corvane.session import cut_lineage, small
 
 from .current import newest
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
-#: P(child's label | parent directory's label), rows and columns as LABELS.
-FILE_GIVEN_DIR = (
-    (0.67, 0.04, 0.02, 0.25, 0.02),
-    (0.45, 0.50, 0.02, 0.01, 0.02),
-    (0.45, 0.02, 0.50, 0.01, 0.02),
+#: log P(child's label | parent's label), rows and columns as LABELS: files given their siblings' node, that given its directory, directories given theirs.
+FILE_GIVEN_GROUP = np.log([
+    (0.70, 0.04, 0.02, 0.22, 0.02),
+    (0.25, 0.71, 0.01, 0.01, 0.02),
+    (0.25, 0.01, 0.71, 0.01, 0.02),
     (0.02, 0.02, 0.02, 0.92, 0.02),
-    (0.45, 0.02, 0.02, 0.01, 0.50),
-)
-DIR_GIVEN_DIR = (
+    (0.25, 0.01, 0.01, 0.01, 0.72),
+])
+GROUP_GIVEN_DIR = np.log([
+    (0.90, 0.04, 0.02, 0.02, 0.02),
+    (0.30, 0.66, 0.01, 0.01, 0.02),
+    (0.30, 0.01, 0.66, 0.01, 0.02),
+    (0.01, 0.01, 0.01, 0.96, 0.01),
+    (0.30, 0.02, 0.01, 0.01, 0.66),
+])
+DIR_GIVEN_DIR = np.log([
     (0.88, 0.03, 0.02, 0.05, 0.02),
     (0.47, 0.50, 0.01, 0.01, 0.01),
     (0.47, 0.01, 0.50, 0.01, 0.01),
     (0.01, 0.01, 0.01, 0.96, 0.01),
     (0.47, 0.01, 0.01, 0.01, 0.50),
-)
+])
+BLOCK = 50_000
+"""Most directories that one task propagates at once."""
 # Names of directories that hold third-party code.
 VENDOR_DIRS = ("vendor", "vendors", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "3rd_party", "extern", "external", "externals", "deps", "bower_components", "site-packages", "jspm_packages", "Pods", "Godeps")
 # Names of directories that hold output of tools.
@@ -62,7 +75,11 @@ _TOOL = re.compile(
     r"|do not (?:edit|modify|change)(?: (?:this|by hand|manually|it)|[.!]|\s*$)|manual changes will be lost|(?:re-?run|regenerate) (?:it|this)\b[^\n]* (?:rather than|instead)|edit (?:that|the) (?:file|source|template|schema)[^\n]* instead|output of `|(?:automatisch|maschinell) (?:erzeugt|generiert|erstellt)"
     r"|(?:généré|produit|créé) automatiquement|ne pas (?:modifier|éditer)|(?:generado|creado) automáticamente|no (?:editar|modificar)|wygenerowan\w+ automatycznie|автоматически|自動生成|自动生成)"
 )
-_TAIL = re.compile(r"(?:^[ \t]*(?://|#|\*|/\*)[^\n]*\n?|^[ \t]*\n){1,60}\Z", re.M)
+_COMMENT_LINE = re.compile(r"[ \t]*(?:(?://|#|\*|/\*)[^\n]*)?\Z")
+#: What suggests a tool without saying so.
+_HINT = re.compile(r"(?im)^[\s/*#!;-]*(?:schema|template|spec|protocol|source) ?(?:version|file|hash)?\s*[:=]|\b(?:codegen|stub(?:s| file)|bindings)\b")
+WEAK = 4.6
+"""Evidence that does not decide alone against ``handwritten`` siblings, but does beside others of its kind."""
 _QUOTED = re.compile(r"'[^'\n]{3,60}'|\"[^\"\n]{3,60}\"|“[^”\n]{3,60}”")
 _WRITER = re.compile(r"(?im)^[\s/*#]*(?:this (?:script|module|tool|file|program|class) )?(?:writes?|emits?|generates|produces|creates|minif(?:y|ies)|builds|renders|strips|checks|finds|detects)\b")
 _BANNER = re.compile(r"(?m)^[\s/*#!]*[A-Za-z][\w.-]* v?\d+\.\d+(?:\.\d+)?(?:[-+.][\w.]+)?\s*(?:$|\||-|–|\()")
@@ -75,8 +92,19 @@ _MADE_NAME = re.compile(r"(?i)(?:\.(?:generated|gen|g|pb|designer|autogen)\.\w+|
 _MIN_NAME = re.compile(r"(?i)[.-](?:min|bundle)\.(?:js|ts|css|mjs)$|\.bundle\.js$")
 
 
-def evidence(code: str | None, path: str) -> tuple[list[float], str]:
-    """Log-potentials of a file's label by its own text and name, and a digest of its body without leading comments."""
+def _foot(text: str) -> str:
+    """The trailing lines that are comments or blank."""
+    at = len(text)
+    while at > 0:
+        start = text.rfind("\n", 0, at - 1) + 1
+        if _COMMENT_LINE.match(text[start:at].rstrip("\n")) is None:
+            break
+        at = start
+    return text[at:]
+
+
+def evidence(code: str | None, path: str) -> tuple[list[float], str, int]:
+    """Log-potentials of a file's label by its own text and name, and a digest of its body without leading comments (none of an empty body)."""
     name = re.split(r"[/\\]", path)[-1]
     phi = [0.0, -4.0, -5.0, -1.0, -5.0]
     if _MADE_NAME.search(name):
@@ -84,138 +112,212 @@ def evidence(code: str | None, path: str) -> tuple[list[float], str]:
     if _MIN_NAME.search(name):
         phi[2] += 8.0
     if not code:
-        return phi, ""
+        return phi, "", 0
     text = code.replace("\r\n", "\n")
     markdown = name.lower().endswith((".md", ".markdown"))
     head = (_PY_HEAD if name.endswith((".py", ".sh", ".rb", ".yml", ".yaml", ".toml")) else _C_HEAD).match(text).group()
     body = text[len(head) :].strip()
-    digest = hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if len(body) >= 200 else ""
+    digest = hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if body else ""
     if markdown:
-        return phi, digest
-    tail = _TAIL.search(text, max(0, n - 4000)) if (n := len(text)) else None
-    foot = tail.group() if tail is not None else ""
+        return phi, digest, len(body)
+    n = len(text)
+    foot = _foot(text)
     if head or foot:
         said = "\n".join(line for line in _QUOTED.sub(lambda m: m.group() if "@" in m.group() or "<" in m.group() else "''", head + "\n" + foot).split("\n") if not _WRITER.match(line))
         if _TOOL.search(said):
             phi[1] += 12.0
+        elif _HINT.search(said):
+            phi[1] += WEAK
         if _BANNER.search(head) and (_LICENSED.search(head) or _BANNER.match(head)):
             phi[3] += 8.0
     data = sum(m.end() - m.start() for m in _NUMBERS.finditer(text)) + sum(m.end() - m.start() for m in _DATA_STRING.finditer(text))
     if data > 0.6 * n and n > 300:
         phi[4] += 13.0
+    elif data > 0.35 * n and n > 300:
+        phi[4] += WEAK
     else:
         long = sum(len(line) for line in body.split("\n") if len(line) > 120)
         if long > 0.6 * len(body) and len(body) > 300:
             blank = sum(body.count(c) for c in " \t\n") / len(body)
             if blank < 0.10:
                 phi[2] += 13.0
+            elif blank < 0.14:
+                phi[2] += WEAK
         family = len(_FAMILY.findall(text))
         if family >= 4 and family >= 0.5 * max(1, len(_FUNCTION.findall(text)) - family):
             phi[1] += 9.0
-    return phi, digest
+        elif family >= 2 and family >= 0.5 * max(1, len(_FUNCTION.findall(text)) - family):
+            phi[1] += WEAK - 1.0
+    return phi, digest, len(body)
 
 
-@F.pandas_udf(T.StructType([T.StructField("phi", T.ArrayType(T.DoubleType())), T.StructField("body", T.StringType())]))
+@F.pandas_udf(T.StructType([T.StructField("phi", T.ArrayType(T.DoubleType())), T.StructField("body", T.StringType()), T.StructField("size", T.IntegerType())]))
 def _evidence(code: pd.Series, path: pd.Series) -> pd.DataFrame:
     rows = [evidence(c, p or "") for c, p in zip(code, path)]
-    return pd.DataFrame({"phi": [r[0] for r in rows], "body": [r[1] for r in rows]})
+    return pd.DataFrame({"phi": [r[0] for r in rows], "body": [r[1] for r in rows], "size": [r[2] for r in rows]})
 
 
-def _log_sum(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    return top + F.log(reduce(lambda a, b: a + b, [F.exp(t - top) for t in terms]))
+def to_parent(belief: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Messages about the parents' labels from beliefs about the children's, shifted to a greatest value of 0."""
+    z = belief[:, None, :] + table[None, :, :]
+    top = z.max(2)
+    out = top + np.log(np.exp(z - top[:, :, None]).sum(2))
+    return out - out.max(1, keepdims=True)
 
 
-def _up(table: tuple, source: str) -> list[Column]:
-    """A child's message about its parent's label."""
-    return [
-        _log_sum([F.col(f"{source}{c}") + F.lit(math.log(table[p][c])) for c in range(5)]).alias(f"u{p}") for p in range(5)
-    ]
+def to_child(belief: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Messages about the children's labels from beliefs about the parents'."""
+    return to_parent(belief, table.T)
 
 
-def _down(table: tuple, source: str, out: str) -> list[Column]:
-    """A parent's message about its child's label."""
-    return [
-        _log_sum([F.col(f"{source}{p}") + F.lit(math.log(table[p][c])) for p in range(5)]).alias(f"{out}{c}") for c in range(5)
-    ]
+S = [f"s{k}" for k in range(5)]
+_FIVE = T.StructType([T.StructField(c, T.DoubleType()) for c in S])
 
 
-def _place(name: Column) -> list[Column]:
-    """Log-potentials of a directory's label by its name."""
-    vendored = F.when(name.isin(*VENDOR_DIRS), 40.0).when(name.rlike(r"^@?[A-Za-z][\w.]*-v?\d+\.\d+(\.\d+)*([-.]\w+)?$"), 40.0).otherwise(0.0)
-    return [F.lit(6.0), F.when(name.isin(*OUTPUT_DIRS), 3.0).otherwise(0.0), F.lit(0.0), vendored, F.lit(0.0)]
+def _five(m: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame(m.reshape(-1, 5), columns=S)
+
+
+def _rows(x: pd.Series) -> np.ndarray:
+    return np.stack(x.to_numpy()) if len(x) else np.empty((0, 5))
+
 
+@F.pandas_udf(_FIVE)
+def _from_file(phi: pd.Series) -> pd.DataFrame:
+    return _five(to_parent(_rows(phi), FILE_GIVEN_GROUP))
 
-#: A directory's parent; the root is the empty path.
-_PARENT = "substring(dir, 1, greatest(length(dir) - length(substring_index(dir, '/', -1)) - 1, 0))"
 
+@F.pandas_udf(_FIVE)
+def _from_group(*s: pd.Series) -> pd.DataFrame:
+    return _five(to_parent(np.stack([x.to_numpy() for x in s], 1), GROUP_GIVEN_DIR))
 
-def labelled_files(files: DataFrame, config: DataFrame) -> DataFrame:
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _group_belief(s: pd.DataFrame, belief: pd.Series) -> pd.Series:
+    """A sibling group's belief: what its files and its directory (without this group) say."""
+    own = s[S].to_numpy()
+    return pd.Series(list(own + to_child(_rows(belief) - to_parent(own, GROUP_GIVEN_DIR), GROUP_GIVEN_DIR)))
+
+
+@F.pandas_udf(T.StructType([T.StructField("label", T.StringType()), T.StructField("log_odds", T.DoubleType())]))
+def _labels(phi: pd.Series, belief: pd.Series) -> pd.DataFrame:
+    own = _rows(phi)
+    score = own + to_child(_rows(belief) - to_parent(own, FILE_GIVEN_GROUP), FILE_GIVEN_GROUP)
+    best = score.argmax(1) if len(score) else np.empty(0, int)
+    return pd.DataFrame({"label": [LABELS[k] for k in best], "log_odds": (score[:, 1:].max(1) - score[:, 0] if len(score) else np.empty(0)).round(4)})
+
+
+_LIBRARY_DIR = re.compile(r"@?[A-Za-z][\w.]*-v?\d+\.\d+(\.\d+)*([-.]\w+)?")
+
+
+def place(name: str) -> list[float]:
+    """Log-potentials of a directory's label by its name."""
+    vendored = name in VENDOR_DIRS or _LIBRARY_DIR.fullmatch(name) is not None
+    return [3.0, 2.0 if name in OUTPUT_DIRS else 0.0, 0.0, 16.0 if vendored else 0.0, 0.0]
+
+
+def propagate(names: list[str], said: np.ndarray, top: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Beliefs of all directories of a subtree and its root's message upwards; ``said``: what each one's groups and
+    cut-off subtrees say, ``top``: what the root's parent says.  The root is the shortest path."""
+    order = sorted(range(len(names)), key=lambda k: names[k].count("/") + (names[k] != ""))
+    at = {names[k]: k for k in order}
+    depth = np.array([n.count("/") + (n != "") for n in names])
+    parent = np.array([at.get(n.rpartition("/")[0], -1) if k != order[0] else -1 for k, n in enumerate(names)])
+    belief = said + np.array([place(n.rpartition("/")[2]) for n in names])
+    sent = np.zeros_like(belief)
+    for d in sorted(set(depth.tolist()), reverse=True):
+        k = np.flatnonzero(depth == d)
+        sent[k] = to_parent(belief[k], DIR_GIVEN_DIR)
+        k = k[parent[k] >= 0]
+        np.add.at(belief, parent[k], sent[k])
+    if top is not None:
+        belief[order[0]] += top
+    for d in sorted(set(depth.tolist())):
+        k = np.flatnonzero((depth == d) & (parent >= 0))
+        belief[k] += to_child(belief[parent[k]] - sent[k], DIR_GIVEN_DIR)
+    return belief, sent[order[0]]
+
+
+def _block(pdf: pd.DataFrame) -> pd.DataFrame:
+    top = pdf[pdf["dir"].isna()]
+    pdf = pdf[pdf["dir"].notna()]
+    belief, up = propagate(pdf["dir"].tolist(), pdf[S].to_numpy(), top[S].to_numpy()[0] if len(top) else None)
+    return pd.DataFrame({"index_prefix": pdf["index_prefix"], "block": pdf["block"], "dir": pdf["dir"], "belief": list(belief), "up": [up.tolist()] * len(pdf)})
+
+
+_BELIEFS = "index_prefix string, block string, dir string, belief array<double>, up array<double>"
+_ANCESTORS = "transform(sequence(0, size(split(dir, '/')) - 1), n -> concat_ws('/', slice(split(dir, '/'), 1, n)))"
+_LINE = f"case when dir = '' then array('') else array_append({_ANCESTORS}, dir) end"
+
+
+def directory_beliefs(said: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(index_prefix, dir, belief) of every directory of (index_prefix, dir, s0..s4), ancestors included."""
+    zero = [F.lit(0.0).alias(c) for c in S]
+    above = said.where("dir <> ''").select("index_prefix", F.explode(F.expr(_ANCESTORS)).alias("dir"), *zero)
+    dirs = cut_lineage(said.select("index_prefix", "dir", *S).unionByName(above).groupBy("index_prefix", "dir").agg(*[F.sum(c).alias(c) for c in S]))
+    large = dirs.groupBy("index_prefix").count().where(F.col("count") > block).select("index_prefix")
+    if not large.take(1):
+        return dirs.withColumn("block", F.lit("")).groupBy("index_prefix").applyInPandas(_block, _BELIEFS).select("index_prefix", "dir", "belief")
+    below = (
+        dirs.select("index_prefix", F.explode(F.expr(_LINE)).alias("dir"))
+        .groupBy("index_prefix", "dir").count()
+    )
+    crown = cut_lineage(below.where(F.col("count") > block).select("index_prefix", "dir", F.lit(True).alias("crown")))
+    # a directory's block is its highest ancestor, or itself, that is no part of the crown
+    lines = dirs.select("*", F.posexplode(F.expr(_LINE)).alias("n", "line"))
+    at = lines.join(crown.withColumnRenamed("dir", "line"), ["index_prefix", "line"], "left").where("crown is null")
+    dirs = dirs.join(at.groupBy("index_prefix", "dir").agg(F.min_by("line", "n").alias("block")), ["index_prefix", "dir"], "left")
+    blocks = dirs.where("block is not null")
+    ups = cut_lineage(blocks.groupBy("index_prefix", "block").applyInPandas(_block, _BELIEFS).where("dir = block").select("index_prefix", "block", "up"))
+    parent = F.expr("substring(block, 1, greatest(length(block) - length(substring_index(block, '/', -1)) - 1, 0))").alias("dir")
+    told = ups.select("index_prefix", parent, *[F.col("up")[k].alias(c) for k, c in enumerate(S)]).groupBy("index_prefix", "dir").agg(*[F.sum(c).alias(c) for c in S])
+    tops = dirs.where("block is null").select("index_prefix", "dir", *S).unionByName(told.join(crown, ["index_prefix", "dir"]).drop("crown"))
+    tops = tops.groupBy("index_prefix", "dir").agg(*[F.sum(c).alias(c) for c in S]).withColumn("block", F.lit(""))
+    high = cut_lineage(tops.groupBy("index_prefix").applyInPandas(_block, _BELIEFS).select("index_prefix", "dir", "belief"))
+    down = ups.select("*", parent).join(high, ["index_prefix", "dir"]).select("index_prefix", "block", _down("belief", "up").alias("d"))
+    down = down.select("index_prefix", F.lit(None).cast("string").alias("dir"), *[F.col("d")[c].alias(c) for c in S], "block")
+    low = blocks.unionByName(down).groupBy("index_prefix", "block").applyInPandas(_block, _BELIEFS).select("index_prefix", "dir", "belief")
+    return low.unionByName(high)
+
+
+@F.pandas_udf(_FIVE)
+def _down(belief: pd.Series, up: pd.Series) -> pd.DataFrame:
+    return _five(to_child(_rows(belief) - _rows(up), DIR_GIVEN_DIR))
+
+
+def labelled_files(files: DataFrame, config: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every current file with its label, whether it lies in an ignored directory, and the label's log-odds against handwritten."""
     judged = files.where(F.col("file_path").isNotNull() & F.col("index_prefix").isNotNull()).select(
         "index_prefix", "file_path", "scanned_at", "sha256", _evidence("code", "file_path").alias("e")
     )
     ignored = config.select(F.explode("ignored_dirs").alias("d")).distinct().agg(F.collect_set("d").alias("ignored"))
     path = F.regexp_replace(F.regexp_replace("file_path", r"\\", "/"), r"^(\./)+|/+(?=/)", "")
-    f = (
+    f = cut_lineage(
         newest(judged, "e").withColumn("parts", F.split(path, "/"))
         .withColumn("dirs", F.expr("slice(parts, 1, size(parts) - 1)"))
         .crossJoin(F.broadcast(ignored))  # one row: the fixed list of names
         .select(
-            "index_prefix", "file_path", F.size("dirs").alias("depth"), F.array_join("dirs", "/").alias("dir"),
+            "index_prefix", "file_path", F.array_join("dirs", "/").alias("dir"), F.lower(F.regexp_extract("file_path", r"\.(\w+)$", 1)).alias("ext"),
             F.arrays_overlap("dirs", F.coalesce("ignored", F.array().cast("array<string>"))).alias("ignored"),
-            F.col("e.body").alias("body"), *[F.col("e.phi")[k].alias(f"p{k}") for k in range(5)],
+            F.col("e.body").alias("body"), F.col("e.phi").alias("phi"), F.col("e.size").alias("size"),
             F.exists("dirs", lambda d: d.isin(*VENDOR_DIRS) | d.rlike(r"^@?[A-Za-z][\w.]*-v?\d+\.\d+\.\d+")).alias("vendor_place"),
         )
     )
-    f = cut_lineage(f)
-    # the same body in a vendored place or under a library's banner makes a copy vendored wherever it lies
-    libraries = f.where("body <> ''").groupBy("body").agg(F.max(F.col("vendor_place") | (F.col("p3") > 4)).alias("library")).where("library")
-    f = f.join(libraries, "body", "left").withColumn("p3", F.col("p3") + F.when(F.col("library") & (F.col("p3") <= 4), 8.0).otherwise(0.0)).drop("library", "vendor_place", "body")
-    f = cut_lineage(f)
-
-    deepest = f.agg(F.max("depth")).first()[0] or 0
-    sums = [F.sum(f"u{k}").alias(f"s{k}") for k in range(5)]
-    from_files = f.select("index_prefix", "dir", "depth", *_up(FILE_GIVEN_DIR, "p")).groupBy("index_prefix", "dir", "depth").agg(*sums)
-    from_files = cut_lineage(from_files)
-    # upward: belief of every directory without its parent's message
-    levels: dict[int, DataFrame] = {}
-    below = None
-    for depth in range(deepest, -1, -1):
-        at = from_files.where(F.col("depth") == depth).select("index_prefix", "dir", *[f"s{k}" for k in range(5)])
-        if below is not None:
-            sent = below.select("index_prefix", F.expr(_PARENT).alias("dir"), *[F.col(f"m{k}").alias(f"s{k}") for k in range(5)])
-            at = at.unionByName(sent)
-        at = at.groupBy("index_prefix", "dir").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(5)])
-        prior = _place(F.expr("substring_index(dir, '/', -1)"))
-        at = at.select("index_prefix", "dir", *[(F.col(f"s{k}") + prior[k]).alias(f"b{k}") for k in range(5)])
-        at = at.select("*", *[c.alias(f"m{k}") for k, c in enumerate(_up(DIR_GIVEN_DIR, "b"))])
-        levels[depth] = below = cut_lineage(at)
-    # downward: the parent's belief without what this directory told it
-    beliefs = None
-    above = None
-    for depth in range(deepest + 1):
-        at = levels[depth]
-        if above is not None:
-            p = above.select("index_prefix", F.col("dir").alias("up"), *[F.col(f"b{k}").alias(f"a{k}") for k in range(5)])
-            at = at.withColumn("up", F.expr(_PARENT)).join(p, ["index_prefix", "up"])
-            at = at.select("*", *[(F.col(f"a{k}") - F.col(f"m{k}")).alias(f"c{k}") for k in range(5)])
-            at = at.select("index_prefix", "dir", *[f"b{k}" for k in range(5)], *_down(DIR_GIVEN_DIR, "c", "d"))
-            at = at.select("index_prefix", "dir", *[(F.col(f"b{k}") + F.col(f"d{k}")).alias(f"b{k}") for k in range(5)])
-        else:
-            at = at.select("index_prefix", "dir", *[f"b{k}" for k in range(5)])
-        above = cut_lineage(at)
-        beliefs = above if beliefs is None else beliefs.unionByName(above)
-    j = f.select("*", *_up(FILE_GIVEN_DIR, "p")).join(beliefs, ["index_prefix", "dir"])
-    j = j.select("*", *[(F.col(f"b{k}") - F.col(f"u{k}")).alias(f"c{k}") for k in range(5)])
-    j = j.select("index_prefix", "file_path", "ignored", *[f"p{k}" for k in range(5)], *_down(FILE_GIVEN_DIR, "c", "d"))
-    score = [F.col(f"p{k}") + F.col(f"d{k}") for k in range(5)]
-    best = F.greatest(*score)
-    label = F.coalesce(*[F.when(score[k] == best, F.lit(name)) for k, name in enumerate(LABELS)])
-    return j.select(
-        "index_prefix", "file_path", F.when(F.col("ignored"), F.lit("ignored")).otherwise(label).alias("label"),
-        F.round(F.greatest(*score[1:]) - score[0], 4).alias("log_odds"),
-    )
+    # the same body in a vendored place or under a library's banner says that a copy is vendored wherever it lies, the more the longer it is;
+    # files without a body take no part in the join
+    full = f.where("body <> ''")
+    libraries = full.groupBy("body").agg(F.max(F.col("vendor_place") | (F.col("phi")[3] > 4)).alias("library")).where("library")
+    said = F.when(F.col("library") & (F.col("phi")[3] <= 4), 8.0 * (1 - F.exp(-F.col("size") / 80.0))).otherwise(0.0)
+    with_copies = full.join(small(libraries), "body", "left").withColumn("phi", F.transform("phi", lambda x, k: F.when(k == 3, x + said).otherwise(x))).drop("library")
+    f = cut_lineage(with_copies.unionByName(f.where("body = ''")).drop("body", "size", "vendor_place"))
+
+    group = ["index_prefix", "dir", "ext"]
+    groups = f.select(*group, _from_file("phi").alias("u")).groupBy(*group).agg(*[F.sum(f"u.{c}").alias(c) for c in S])
+    groups = cut_lineage(groups)
+    beliefs = directory_beliefs(groups.select("index_prefix", "dir", _from_group(*S).alias("u")).groupBy("index_prefix", "dir").agg(*[F.sum(f"u.{c}").alias(c) for c in S]), block)
+    groups = groups.join(beliefs, ["index_prefix", "dir"]).select(*group, _group_belief(F.struct(*S), "belief").alias("belief"))
+    j = f.join(small(cut_lineage(groups)), group).select("index_prefix", "file_path", "ignored", _labels("phi", "belief").alias("l"))
+    return j.select("index_prefix", "file_path", F.when(F.col("ignored"), F.lit("ignored")).otherwise(F.col("l.label")).alias("label"), F.col("l.log_odds").alias("log_odds"))
 
 
 def not_handwritten(files: DataFrame, config: DataFrame) -> DataFrame:

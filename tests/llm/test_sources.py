@@ -211,3 +211,46 @@ def test_rates_are_projected_gradient_steps():
         steps.append(((M.rates(m, cap, steps) * tokens) @ m - goal) / have)
     r = M.rates(m, cap, steps)
     assert np.allclose((r * tokens) @ m, goal, atol=0.5) and (r >= 0).all() and (r <= cap).all() and len(set(r.round(3))) == 3
+
+
+def test_propagation_is_exact_on_a_small_tree():
+    """Beliefs against the sum over all labellings."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    names = ["", "a", "a/vendor", "b"]
+    said = rng.normal(size=(4, 5)) * 2
+    top = rng.normal(size=5)
+    got, _ = P.propagate(names, said, top)
+    own = said + np.array([P.place(n.rpartition("/")[2]) for n in names])
+    own[0] += top
+    true = np.full((4, 5), -np.inf)
+    for x in itertools.product(range(5), repeat=4):
+        w = sum(own[k, x[k]] for k in range(4)) + P.DIR_GIVEN_DIR[x[0], x[1]] + P.DIR_GIVEN_DIR[x[1], x[2]] + P.DIR_GIVEN_DIR[x[0], x[3]]
+        for k in range(4):
+            true[k, x[k]] = np.logaddexp(true[k, x[k]], w)
+    assert np.allclose(got - got.max(1, keepdims=True), true - true.max(1, keepdims=True))
+
+
+def test_neighbours_decide_what_a_file_alone_does_not(spark, monkeypatch):
+    weak = "// bindings\nint call(int a) {\n    return a;\n}\n"
+    sure = "// Code generated by x from y. DO NOT EDIT.\nint call{0}(int a) {{ return {0}; }}\n"
+    hand = "int add_{0}(int a) {{\n    return a + {0};\n}}\n"
+    rows = [("i", f"api/s{k}.c", "c", sure.format(k), 0) for k in range(8)] + [("i", "api/weak.c", "c", weak, 0)]
+    rows += [("i", f"src/h{k}.c", "c", hand.format(k), 0) for k in range(8)] + [("i", "src/weak.c", "c", weak.replace("a", "b"), 0)]
+    rows += [("i", f"vendor/x/src/deep/f{k}.c", "c", hand.format(k + 50), 0) for k in range(8)]
+    rows += [("i", f"src/notes/n{k}.md", "markdown", "# x\n", 0) for k in range(3)] + [("i", "README.md", "markdown", "", 0)]
+    config = spark.createDataFrame([(["node_modules"],)], "ignored_dirs array<string>")
+    f = files(spark, rows)
+    got = {r.file_path: r.label for r in P.labelled_files(f, config).collect()}
+    assert got["api/weak.c"] == "generated" and got["src/weak.c"] == "handwritten"
+    assert all(got[f"vendor/x/src/deep/f{k}.c"] == "vendored" for k in range(8)) and got["src/h1.c"] == "handwritten"
+    assert got == {r.file_path: r.label for r in P.labelled_files(f, config, block=2).collect()}  # cut into blocks: the same
+    alone = {path: P.LABELS[int(np.argmax(P.evidence(code, path)[0]))] for _, path, _, code, _ in rows}
+    assert alone["api/weak.c"] == alone["src/weak.c"] and alone["vendor/x/src/deep/f1.c"] == "handwritten"  # without messages
+
+
+def test_trailing_marks_count_however_long(spark):
+    body = "x = 1\ny = 2\n"
+    assert P.evidence(body + "# note\n" * 3000 + "# @generated\n" + "# note\n" * 3000, "a.py")[0][1] > 5
+    assert P.evidence(body, "a.py")[0][1] < 0
