@@ -363,6 +363,28 @@ def _(s, d):
     return changes.changed_files(table(s, d, "source_files"), table(s, d, "index_meta"), table(s, d, "index_config"))
 
 
+ENTRIES_SQL = f"""{CURRENT_SQL}, {LAST_SQL}, o as (select distinct index_prefix, {PLAIN_SQL.format("k")} as path, lower(trim(hv)) as hash from
+ (select index_prefix, unnest(map_keys(h)) as k, unnest(map_values(h)) as hv from last)),
+n as (select * from (select index_prefix, {PLAIN_SQL.format("file")} as path, lower(trim(sha256)) as hash from cur)
+ where not list_has_any(string_split(path, '/')[:-2], (select ignored_dirs from index_config limit 1)))"""
+
+
+@query(
+    "p4_delta",
+    f"""with {ENTRIES_SQL} select index_prefix, 'insert' as change, count(*) as n_entries from n where not exists
+ (select 1 from o where o.index_prefix = n.index_prefix and o.path = n.path and o.hash = n.hash) group by index_prefix
+union all select index_prefix, 'delete', count(*) from o where not exists
+ (select 1 from n where o.index_prefix = n.index_prefix and o.path = n.path and o.hash = n.hash) group by index_prefix""",
+)
+def _(s, d):
+    return changes.entry_delta(table(s, d, "source_files"), table(s, d, "index_meta"), table(s, d, "index_config"))
+
+
+@query("p4_processed", f"with {ENTRIES_SQL} select index_prefix, path, hash from n")
+def _(s, d):
+    return changes.processed_entries(table(s, d, "source_files"), table(s, d, "index_meta"), table(s, d, "index_config"))
+
+
 @query("incr_diff", f"with {DIFF_SQL} select index_prefix, file, status from df")
 def _(s, d):
     return _diff(s, d)

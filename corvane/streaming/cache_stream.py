@@ -10,11 +10,16 @@ from corvane.operators.changes import VersionedTable
 
 
 def ingest(sets: DataFrame, output: VersionedTable, checkpoint: str, name: str = "stream") -> StreamingQuery:
-    """Append every micro-batch of a stream to a versioned table once: the batch number is part of the commit, so a replayed batch is skipped."""
+    """Append every micro-batch of a stream to a versioned table once.
+
+    The query's id and the batch number are part of the commit, so a replayed batch is skipped; a query with a new
+    checkpoint folder has a new id and numbers of its own.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        if output.manifest().processed.get(name, -1) < number:
-            output.append(df, {name: number})
+        source = f"{name}:{df.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}"
+        if output.manifest().processed.get(source, -1) < number:
+            output.append(df, {source: number})
 
     return sets.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

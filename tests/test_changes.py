@@ -23,8 +23,49 @@ def test_difference_has_appends_deletes_and_survives_compaction(spark, tmp_path)
     v4 = t.delete("id = 3")
     assert rows(t.difference(v3, v4), "id", "_change") == [(3, "delete")]
     assert rows(t.difference(v4, v2), "id", "_change") == [(2, "insert"), (3, "insert")]
-    t.compact()
+    v5 = t.compact()
     assert rows(t.read(), "id") == [(1,), (4,)]
+    assert t.difference(v4, v5).count() == 0  # compaction is no change
+    t.append(spark.createDataFrame([(6, "f")], "id long, x string"))
+    v7 = t.delete("id in (1, 6)")
+    assert rows(t.difference(v3, v7), "id", "_change") == [(1, "delete"), (3, "delete")]
+    v8 = t.sync(spark.createDataFrame([(4, "d"), (9, "n"), (None, "z")], "id long, x string"), ["id"])
+    assert rows(t.difference(v7, v8), "x", "_change") == [("n", "insert"), ("z", "insert")]
+    v9 = t.sync(spark.createDataFrame([(None, "z")], "id long, x string"), ["id"])
+    assert rows(t.difference(v8, v9), "id", "_change") == [(4, "delete"), (9, "delete")] and rows(t.read(), "x") == [("z",)]
+
+
+def test_overlapping_runs_commit_once_and_deletes_are_followed(spark, tmp_path):
+    source, out = VersionedTable(spark, str(tmp_path / "s")), VersionedTable(spark, str(tmp_path / "o"))
+    source.append(spark.createDataFrame([(k % 4,) for k in range(5)], "id long"))
+
+    def slow(df):
+        process_new(source, out, lambda d: d)  # another run is faster
+        return df
+
+    with pytest.raises(RuntimeError):
+        process_new(source, out, slow)
+    assert out.read().count() == 5
+    source.delete("id = 0")  # two equal rows
+    source.compact()
+    process_new(source, out, lambda d: d.withColumn("extra", d.id))
+    assert rows(out.read(), "id") == [(1,), (2,), (3,)]
+    source.delete("id = 1")
+    with pytest.raises(ValueError):
+        process_new(source, out, lambda d: d.select("id"))
+    process_new(source, out, lambda d: d)
+    assert rows(out.read(), "id") == [(2,), (3,)]
+
+
+def test_a_manifest_cut_off_while_written_blocks_until_recovered(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    t.append(spark.createDataFrame([(1,)], "id long"))
+    (tmp_path / "t" / "_manifests" / "v000000000002.json").write_text('{"version"')
+    with pytest.raises(ValueError):
+        t.append(spark.createDataFrame([(2,)], "id long"))
+    assert t.recover() and not t.recover()
+    t.append(spark.createDataFrame([(2,)], "id long"))
+    assert rows(t.read(), "id") == [(1,), (2,)]
 
 
 def test_every_record_is_processed_once_whatever_fails(spark, tmp_path):
