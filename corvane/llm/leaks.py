@@ -8,13 +8,15 @@ same MinHash under every permutation: the search loses nothing.  A document's pa
 signatures are sliding minima over its shingle hashes, of which neighbouring passages
 share most, and only signatures of the items are looked up.
 
-Items are partitioned by size (a power of two of their passage count).  Every partition
-has its own index and number of MinHash rows: large items have many passages and hence
-more chance signatures, so their partitions ask for more rows to agree.  Candidates are
-verified by exact containment of the passage's word run.
+Items are partitioned by size (a power of two of their passage count): large items have
+many passages and hence more chance signatures, so their partitions ask for more MinHash rows to
+agree.  A document's signatures for all partitions come out of one pass over its rows.
 
-The items are a stated query set: they are indexed in blocks of ``block`` items, each
-block is broadcast and run against all documents, so no size of the item table is unsafe.
+Neither table is held by the driver.  The signatures of all items are folded into one filter of fixed size
+(``FILTER_BITS``), which is broadcast; the corpus is read once, whatever the number of items,
+and only passages whose signature is in the filter go on, as (signature, word run).  They are
+joined with the items' passages on both, which is the exact containment check.  More items
+than the filter was made for let more passages through and lose none.
 
 Words are runs of letters, digits and underscores in the consistent form of
 :mod:`corvane.llm.lookalikes`, lower-cased; HTML tags, entities and link targets are markup.
@@ -25,19 +27,23 @@ nothing; repeated items or documents give one row per (document, item).
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import cut_lineage, small
+
 from .lookalikes import readable
 
 PASSAGE = 12
 SHINGLE = 5
-BLOCK = 20_000
+FILTER_BITS = 1 << 27
+"""Size of the broadcast filter: 16 MB, made for some ten million item passages."""
 _MARKUP = re.compile(r"</?[a-zA-Z][a-zA-Z0-9-]*(?:\s[^<>]*)?/?>|&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,6});|(?<=\])\([^()\s]*\)")
 _WORD = re.compile(r"\w+")
 _PERMUTE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -60,103 +66,107 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of every run of ``n`` word numbers."""
-    m = len(ids) - n + 1
+    m = max(0, len(ids) - n + 1)
     out = np.zeros(m, dtype=np.uint64)
-    for k in range(n):
+    for k in range(n if m > 0 else 0):
         out = _mix(out + ids[k : k + m].astype(np.uint64) + np.uint64(k + 1))
     return out
 
 
-def signatures(shingles: np.ndarray, width: int, rows: int) -> np.ndarray:
-    """MinHash signature of every set of ``width`` consecutive shingles, ``rows`` permutations folded into one number."""
+def signatures(shingles: np.ndarray, width: int) -> list[np.ndarray]:
+    """MinHash signatures of every set of ``width`` consecutive shingles, for 1, 2, ... rows (permutations folded into one number)."""
     m = len(shingles) - width + 1
-    out = np.zeros(m, dtype=np.uint64)
-    for r in range(rows):
-        h = _mix(shingles ^ _PERMUTE[r])
-        low = h[:m].copy()
+    out, folded = [], np.zeros(max(0, m), dtype=np.uint64)
+    for r, permute in enumerate(_PERMUTE):
+        h = _mix(shingles ^ permute)
+        low = h[: max(0, m)].copy()
         for k in range(1, width):
             np.minimum(low, h[k : k + m], out=low)
-        out = _mix(out + low)
+        folded = _mix(folded + low)
+        out.append(folded + np.uint64(r))
     return out
 
 
-class ItemIndex:
-    """The signatures of a block of items, by size partition, with what the exact check needs."""
-
-    def __init__(self, items: list[tuple[int, str]], passage: int = PASSAGE, shingle: int = SHINGLE):
-        self.passage, self.shingle, self.width = passage, shingle, passage - shingle + 1
-        self.vocabulary: dict[str, int] = {}
-        self.partitions: list[tuple[int, dict[int, list[int]]]] = []
-        self.runs: dict[bytes, set[int]] = {}
-        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for item, text in items:
-            ws = words(text)
-            if len(ws) < passage:
-                continue
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], dtype=np.int64)
-            by_size.setdefault((len(ws) - passage + 1).bit_length(), []).append((item, ids))
-        for size, members in sorted(by_size.items()):
-            rows = 1 + (size > 4) + (size > 7)
-            index: set[int] = set()
-            for item, ids in members:
-                index.update(signatures(shingle_hashes(ids, shingle), self.width, rows).tolist())
-                for k in range(len(ids) - passage + 1):
-                    self.runs.setdefault(ids[k : k + passage].tobytes(), set()).add(item)
-            self.partitions.append((rows, np.array(sorted(index), dtype=np.uint64)))
-
-    def leaks(self, text: str) -> set[int]:
-        """The items of which ``text`` holds a passage."""
-        found: set[int] = set()
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words(text)], dtype=np.int64)
-        if len(ids) < self.passage or not self.partitions:
-            return found
-        # a run with a word that no item has can't match: only stretches of known words are sketched
-        stops = np.flatnonzero(ids == 0)
-        edges = np.concatenate(([-1], stops, [len(ids)]))
-        for k in np.flatnonzero(np.diff(edges) > self.passage):
-            part = ids[edges[k] + 1 : edges[k + 1]]
-            shingles = shingle_hashes(part, self.shingle)
-            sketch: dict[int, np.ndarray] = {}
-            for rows, index in self.partitions:
-                if rows not in sketch:
-                    sketch[rows] = signatures(shingles, self.width, rows)
-                at = np.searchsorted(index, sketch[rows])
-                hit = np.flatnonzero(index[np.minimum(at, len(index) - 1)] == sketch[rows])
-                for p in hit.tolist():
-                    found |= self.runs.get(part[p : p + self.passage].tobytes(), set())
-        return found
+def rows_for(passages: int) -> int:
+    """MinHash rows of the size partition of an item with so many passages."""
+    size = passages.bit_length()
+    return 1 + (size > 4) + (size > 7)
+
+
+class _Numbers(dict):
+    """Words to 64-bit numbers, remembered for a while."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return out
+
+
+def _passages(texts: Iterable[str], passage: int) -> tuple[list[list[str]], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The words of every text, and for every passage of them the text, the first word and the signatures."""
+    numbers = _Numbers()
+    all_words = [words(t) for t in texts]
+    sizes = np.array([len(w) for w in all_words], dtype=np.int64)
+    ids = np.fromiter((numbers[w] for ws in all_words for w in ws), dtype=np.uint64, count=int(sizes.sum()))
+    n = len(ids) - passage + 1
+    if n <= 0:
+        return all_words, np.empty(0, np.int64), np.empty(0, np.int64), [np.empty(0, np.uint64)] * len(_PERMUTE)
+    sketch = signatures(shingle_hashes(ids, SHINGLE), passage - SHINGLE + 1)
+    # texts are laid end to end; a passage must end in the text it begins in
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.flatnonzero(text[:n] == text[passage - 1 :])
+    starts = np.cumsum(sizes) - sizes
+    return all_words, text[inside], inside - starts[text[inside]], [x[inside] for x in sketch]
+
+
+def _item_runs(passage: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ws, text, first, sketch = _passages(pdf["t"], passage)
+            rows = np.array([rows_for(max(1, len(w) - passage + 1)) for w in ws], dtype=np.int64)[text] - 1 if len(text) else np.empty(0, np.int64)
+            sig = np.choose(rows, sketch).astype(np.int64) if len(text) else np.empty(0, np.int64)
+            yield pd.DataFrame({"sig": sig, "run": [" ".join(ws[t][k : k + passage]) for t, k in zip(text, first)], "item_id": pdf["k"].to_numpy()[text]})
+
+    return run
+
+
+def _document_runs(shared, passage: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.uint64(64 * len(shared.value) - 1)
+        for pdf in batches:
+            ws, text, first, sketch = _passages(pdf["t"], passage)
+            out = []
+            for sig in sketch:
+                at = sig & bits
+                hit = np.flatnonzero((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+                out.append(pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[text[hit]], "sig": sig[hit].astype(np.int64), "run": [" ".join(ws[t][k : k + passage]) for t, k in zip(text[hit], first[hit])]}))
+            yield pd.concat(out, ignore_index=True)
+
+    return run
 
 
 def leaked_items(
     docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text",
-    item_key: str = "item_id", item_text: str = "text", passage: int = PASSAGE, block: int = BLOCK,
+    item_key: str = "item_id", item_text: str = "text", passage: int = PASSAGE,
 ) -> DataFrame:
     """(doc_id, item_id) for every document holding a passage of an item's text."""
     spark = docs.sparkSession
     queries = items.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t")).where("k is not null and t is not null").distinct()
-    blocks = max(1, -(-queries.count() // block))
+    runs = cut_lineage(queries.mapInPandas(_item_runs(passage), "sig long, run string, item_id long").distinct())
+    bit = F.col("sig").bitwiseAND(FILTER_BITS - 1)
+    # at most FILTER_BITS / 64 rows reach the driver, whatever the number of items
+    words_of_filter = (
+        runs.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast((sig & {FILTER_BITS - 1}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    )
+    filter_ = np.zeros(FILTER_BITS >> 6, np.uint64)
+    filter_[words_of_filter["w"].to_numpy(np.int64)] = words_of_filter["b"].to_numpy(np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(filter_)
     source = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(doc_text).alias("t")).where(
         (F.length("t") >= 2 * passage - 1) & F.col("doc_id").isNotNull()
     )
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
-        # a block holds about `block` items of the stated query set: bounded whatever the table's size
-        shared = spark.sparkContext.broadcast(ItemIndex([(r.k, r.t) for r in part.collect()], passage))
-        hits = source.mapInPandas(_searcher(shared), "doc_id long, item_id long")
-        out = hits if out is None else out.unionByName(hits)
-    return out.distinct()
-
-
-def _searcher(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        for pdf in batches:
-            rows = [(d, i) for d, t in zip(pdf["doc_id"], pdf["t"]) for i in index.leaks(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id"], dtype="int64")
-
-    return run
+    hits = source.mapInPandas(_document_runs(shared, passage), "doc_id long, sig long, run string")
+    return hits.join(small(runs), ["sig", "run"]).select("doc_id", "item_id").distinct()
 
 
 def leak_report(found: DataFrame, items: DataFrame, item_key: str = "item_id", suite: str = "suite") -> DataFrame:

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.session import cut_lineage, small
+
 # Letters of other scripts and the Latin letters they look like.
 LOOKALIKES = {
     # Cyrillic
@@ -39,8 +41,15 @@ LOOKALIKES = {
     "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S",
     "Ꭲ": "I", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z", "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ʋ": "u", "ᴄ": "c", "ᴏ": "o",
     "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
-    # Hyphens
-    "‐": "-", "‑": "-", "﹣": "-",
+    # Near look-alikes of Cyrillic and Greek
+    "к": "k", "ԍ": "G", "Ԍ": "G", "η": "n", "κ": "k", "τ": "t",
+    # Lisu, by the capital each letter is drawn as
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R",
+    "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Canadian syllabics
+    "ᑌ": "U", "ᑭ": "P", "ᗅ": "A", "ᗞ": "D", "ᗪ": "D", "ᒍ": "J", "ᒪ": "L", "ᖇ": "R", "ᕼ": "H", "ᐯ": "V", "ᑕ": "C", "ᗷ": "B", "ᗰ": "M", "ᔕ": "S",
+    # Hyphens, dashes and quotation marks
+    "‐": "-", "‑": "-", "﹣": "-", "‒": "-", "–": "-", "−": "-", "˗": "-", "’": "'", "‘": "'", "‛": "'", "ʼ": "'", "ʹ": "'", "′": "'",
 }
 # Characters without a glyph that are not of category Cf.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"
@@ -119,33 +128,55 @@ def lookalike_classes(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Linear in the documents: copies are counted on digests with partial aggregation, never paired.
     """
     d = _digests(docs, key, text)
-    spellings = d.groupBy("skeleton", "spelling").agg(F.min(key).alias("first"), F.count("*").alias("n"))
-    classes = spellings.groupBy("skeleton").agg(
+    classes = _spellings(d, key).groupBy("skeleton").agg(
         F.min("first").alias("class_id"), F.sum("n").alias("n_docs"), F.count("*").alias("n_spellings")
     )
     return d.join(classes, "skeleton").select(key, "class_id", "n_docs", "n_spellings")
 
 
+def lookalike_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_a, doc_b, n_a, n_b): one pair per two spellings of a skeleton, by the least key of each, and how many documents have each."""
+    s = _links(_spellings(_digests(docs, key, text), key))
+    swap = F.col("first_a") > F.col("first_b")
+    return s.select(
+        F.least("first_a", "first_b").alias("doc_a"), F.greatest("first_a", "first_b").alias("doc_b"),
+        F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"),
+    )
+
+
 def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs of documents with different texts and one skeleton, smaller key first.
 
-    Only classes with several spellings reach the join, so copies of one text pair with nothing.
+    Spellings are paired first, by one representative each, then both sides are filled in with their
+    documents, so copies of one text pair with nothing and no skeleton's documents meet in one task.
     """
     d = _digests(docs, key, text)
-    mixed = (
-        d.groupBy("skeleton").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi"))
-        .where("lo <> hi").select("skeleton")
+    links = _links(_spellings(d, key)).select("skeleton", "spelling_a", "spelling_b")
+    a = d.select("skeleton", F.col("spelling").alias("spelling_a"), F.col(key).alias("a"))
+    b = d.select("skeleton", F.col("spelling").alias("spelling_b"), F.col(key).alias("b"))
+    return (
+        small(links).join(a, ["skeleton", "spelling_a"]).join(b, ["skeleton", "spelling_b"]).where("a <> b")
+        .select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
     )
-    m = d.join(mixed, "skeleton", "left_semi")
-    a = m.select("skeleton", F.col(key).alias("doc_a"), F.col("spelling").alias("sa"))
-    b = m.select("skeleton", F.col(key).alias("doc_b"), F.col("spelling").alias("sb"))
-    return a.join(b, "skeleton").where("doc_a < doc_b and sa <> sb").select("doc_a", "doc_b")
 
 
 def _digests(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, skeleton, spelling), written once: texts are read and digested a single time."""
     t = F.col(text)
-    return (
+    return cut_lineage(
         docs.where(t.isNotNull() & F.col(key).isNotNull())
         .select(key, skeleton_digest(t).alias("skeleton"), F.xxhash64(t).alias("spelling"))
         .dropDuplicates([key, "spelling"])
     )
+
+
+def _spellings(d: DataFrame, key: str) -> DataFrame:
+    return d.groupBy("skeleton", "spelling").agg(F.min(key).alias("first"), F.count("*").alias("n"))
+
+
+def _links(spellings: DataFrame) -> DataFrame:
+    several = spellings.groupBy("skeleton").count().where("count > 1").select("skeleton")
+    s = cut_lineage(spellings.join(several, "skeleton", "left_semi"))
+    a = s.select("skeleton", F.col("spelling").alias("spelling_a"), F.col("first").alias("first_a"), F.col("n").alias("n_a"))
+    b = s.select("skeleton", F.col("spelling").alias("spelling_b"), F.col("first").alias("first_b"), F.col("n").alias("n_b"))
+    return a.join(b, "skeleton").where("spelling_a < spelling_b")

@@ -104,6 +104,10 @@ def p10_classes(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.lookalike_classes(table(spark, sf, "documents"))
 
 
+def p10_links(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalikes.lookalike_links(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)
