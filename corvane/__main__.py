@@ -1,4 +1,4 @@
-"""Command line: index, query, inspect, config."""
+"""Command line: index, query, inspect, config, serve."""
 
 from __future__ import annotations
 
@@ -34,11 +34,19 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("index")
     p = sub.add_parser("config")
     p.add_argument("path")
+    p = sub.add_parser("serve")
+    p.add_argument("--indexes", default="indexes")
     a = parser.parse_args(args)
     if a.command == "config":
         Config().save(a.path)
         return 0
     config = Config.load(a.config) if a.config else Config()
+    if a.command == "serve":
+        from corvane.server import index_of, serve
+
+        spark = session("corvane-server")
+        serve(lambda question, root, limit: ContextEngine(spark, index_of(root, a.indexes), config, provider_of(config)).sync_and_query(question, root, limit))
+        return 0
     where = a.output if a.command == "index" else a.index
     engine = ContextEngine(session("corvane-cli"), where, config, provider_of(config))
     if a.command == "index":

@@ -17,18 +17,21 @@ from corvane.config import Config
 from corvane.functions import folder
 from corvane.operators import context, incremental, search
 from corvane.operators.chunking import chunk_files
-from corvane.providers import HashProvider, Provider, rank, summarize_file, summarize_folder
+from corvane.providers import HashProvider, Provider, rank, refine, summarize_file, summarize_folder
 from corvane.sources.tree import read_tree
+from corvane.tokens import VOCABULARY, count, first_tokens
 
 log = logging.getLogger("corvane")
 EMBED_BATCH = 32
 NOTHING = "No relevant context found."
+UNRELATED = "query invalid, no related chunks found\nTry with a different query. Or search for context yourself"
 
 
 class ContextEngine:
     """An index below ``path``: immutable version folders and a pointer to the current one."""
 
-    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, provider: Provider | None = None):
+    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, provider: Provider | None = None, vocabulary: str = VOCABULARY):
+        self.vocabulary = vocabulary
         self.spark, self.path, self.config, self.provider = spark, path, config or Config(), provider or HashProvider()
         os.makedirs(path, exist_ok=True)
 
@@ -106,7 +109,7 @@ class ContextEngine:
         return best.where(F.col("raw") > threshold)
 
     def query(self, question: str, k: int = search.TOP_K, output_k: int = 5, token_limit: int = 15_000, use_cache: bool = True) -> str:
-        """Context for a question: search, cache, ranking, budget, rendering."""
+        """Context for a question: search, cache, ranking, refinement by the model, rendering within the token limit."""
         found = [r.asDict() for r in self.retrieve(question, k).select("vec_id", "level", "file", "folder", "start_line", "end_line", "function_name", "chunk_id", "text", "content", "raw").collect()]
         if not found:
             return NOTHING
@@ -116,11 +119,29 @@ class ContextEngine:
         top = found[: context.CANDIDATES]
         prompt = f"Score each chunk from 0 to 10 for the question: {question}\n\n" + "\n\n".join(f"[{n}] {f['level']} {f['file'] or f['folder']}\n{_ascii(f['text'])}" for n, f in enumerate(top))
         order = sorted(rank(self.provider, prompt, len(top)), key=lambda s: -s[1])[:output_k]
-        sections = [_section(top[n]) for n, _ in order]
-        text = fit("", sections, token_limit)
+        text = self._refined(question, [top[n] for n, _ in order], token_limit)
         self._store(key, text)
         return text
 
+    def _refined(self, question: str, chosen: list[dict], token_limit: int) -> str:
+        """The model's summary of the chosen chunks with as many of their sections as fit; without a reply all sections, whatever their size."""
+        if not chosen:
+            return UNRELATED
+        sections = [_section(f) for f in chosen]
+        blocks, used = [], 0
+        for n, f in enumerate(chosen):  # the longest prefix of blocks within the limit
+            block = f"Chunk {n}: {_block(f)}"
+            used += count(block, self.vocabulary)
+            if used > token_limit:
+                break
+            blocks.append(block)
+        try:
+            summary = refine(self.provider, question, blocks)
+        except Exception:  # noqa: BLE001 - whatever the provider raises
+            log.warning("no refinement", exc_info=True)
+            return context.SEPARATOR.join(sections)
+        return fit(summary, sections, token_limit, self.vocabulary)
+
     def sync_and_query(self, question: str, root: str, token_limit: int = 15_000) -> str:
         """Index a project, then answer; a failed index run is logged and the old index answers."""
         try:
@@ -131,7 +152,8 @@ class ContextEngine:
             text = _ascii(self.query(_ascii(question), output_k=10, token_limit=token_limit))
         except Exception as e:  # noqa: BLE001
             return f"Error: {e}"
-        return text if len(text) <= token_limit * 4 else text[: token_limit * 4] + f"\n\n[Result truncated to {token_limit} tokens]"
+        text, cut = first_tokens(text, token_limit, self.vocabulary)
+        return text + f"\n\n[Result truncated: output exceeded {token_limit} token limit]" if cut else text
 
     # result cache: one small JSON file per key
     def _cached(self, key: str) -> str | None:
@@ -184,11 +206,20 @@ def _section(f: dict) -> str:
     return f"### {f['file'] or f['folder'] + '/'}\n\n{_ascii(f['text'])}"
 
 
-def fit(summary: str, sections: list[str], limit: int) -> str:
-    """The summary with the longest prefix of sections within ``limit`` tokens (a quarter of the characters)."""
+def _block(f: dict) -> str:
+    """A chunk's body in the refinement prompt."""
+    where = f["file"] or f["folder"]
+    if f["level"] in ("code_chunk", "document"):
+        body = "(Code not available)" if f["content"] is None else _ascii(f["content"])
+        return f"{where}\n" + (body if len(body) <= 1500 else body[:1500] + "\n... (truncated)")
+    return f"{where}\n{_ascii(f['text'])}"
+
+
+def fit(summary: str, sections: list[str], limit: int, vocabulary: str = VOCABULARY) -> str:
+    """The summary with the longest prefix of sections within ``limit`` tokens."""
     for n in range(len(sections), 0, -1):
         text = (summary + "\n\n" if summary else "") + context.SEPARATOR.join(sections[:n])
-        if -(-len(text) // 4) <= limit:
+        if count(text, vocabulary) <= limit:
             return text
     return summary
 

@@ -97,6 +97,8 @@ _METHOD = {
 _METHOD["typescript"], _METHOD["c"] = _METHOD["javascript"], _METHOD["cpp"]
 _CLASSES = ("class_declaration", "class_specifier", "struct_specifier", "interface_declaration")
 _OPEN = re.compile(r"[{;]")
+#: An arrow function outside a declaration, up to its body's brace.
+_ARROW = re.compile(r"(?:\basync\s*)?(?:\([^()]*\)|(?P<name>[\w$]+))\s*=>\s*(?=\Z|$)")
 
 
 def _blank(code: str, lang: str) -> str:
@@ -155,7 +157,12 @@ def _braced(code: str, lang: str) -> list[Chunk]:
                 nxt = re.compile(r"[{;\n]").search(text, at, b)
                 if nxt is None:
                     return
-                if nxt.group() == "{":
+                arrow = _ARROW.search(text, at, nxt.start()) if nxt.group() == "{" and lang in ("javascript", "typescript") else None
+                if arrow is not None and (end := _close(text, nxt.start())) > 0:
+                    if len(code[arrow.start() : end].strip()) >= SMALLEST:
+                        out.append(Chunk(code.count("\n", 0, arrow.start()) + 1, code.count("\n", 0, end - 1) + 1, "arrow_function", arrow.group("name") or "unknown", None))
+                    at = end
+                elif nxt.group() == "{":
                     end = _close(text, nxt.start())
                     at = end if end > 0 else nxt.end()
                 else:

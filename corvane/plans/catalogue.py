@@ -11,6 +11,7 @@ from corvane.functions import after_first_line, ascii_strip, base_name, chunk_id
 from corvane.operators import cache, changes, context, incremental, ranges, search
 from corvane.operators.chunking import chunk_files
 from corvane.session import table
+from corvane.tokens import token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -64,7 +65,9 @@ def _positioned(df: DataFrame, *order) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     best = search.above(_ranked(spark, sf)).withColumn("score", F.round("raw", 6)).select("vec_id", "score")
-    rows = F.broadcast(best).join(_chunks(spark, sf), F.col("vec_id") == F.col("position"))  # at most k rows
+    # only the chunks at the at most k positions are compared for copies
+    near = table(spark, sf, "chunks").join(F.broadcast(best.select("vec_id")), F.col("vec_id") == F.col("position"), "left_semi")
+    rows = F.broadcast(best).join(near.select(*_CHUNK_COLUMNS).distinct(), F.col("vec_id") == F.col("position"))
     return _positioned(rows, F.desc("score"), "vec_id").where(F.col("pos") < context.CANDIDATES)
 
 
@@ -485,6 +488,12 @@ def _(s, d):
     return joined.orderBy(F.desc("score"), "response_pos", "pos").limit(5).select("pos", "vec_id", "score")
 
 
+@query("token_counts_bpe")
+def _(s, d):
+    """Tokens under the public vocabulary; SQL has no byte-pair encoding, a test compares with another library's encoder."""
+    return table(s, d, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+
+
 @query("token_counts", "select doc_id, ceil(length(text) / 4.0)::BIGINT as n_tokens from documents")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", tokens_about(F.col("text")).alias("n_tokens"))
@@ -537,10 +546,22 @@ def _(s, d):
     return context.joined_sections(rows.select("pos", context.section().alias("section")), [])
 
 
-@query("retrieve_context", f"with {CAND_SQL}, {FULL_SQL} select pos, vec_id, score, {SECTION_SQL} as section from cand left join fc using (chunk_id) where pos < 5")
+@query(
+    "retrieve_context",
+    f"""with {RANKING_SQL}, {FULL_SQL}, five as (select cand.*, given, (row_number() over (order by given desc, response_pos, cand.pos) - 1)::INT as place from cand join rk using (pos) qualify place < 5),
+se as (select place, vec_id, score, given, {SECTION_SQL} as section from five left join fc using (chunk_id)),
+fit as (select *, sum(ceil(length(section) / 4.0)) over (order by place) as used from se)
+select place as pos, vec_id, score, given, section from fit where used <= 4000""",
+)
 def _(s, d):
-    rows = context.with_code(_candidates(s, d).where("pos < 5"), table(s, d, "full_chunks"))
-    return rows.select("pos", "vec_id", "score", context.section().alias("section"))
+    """Search, threshold, 25 candidates, ranking, the best five, code behind their ids, the longest prefix within the budget."""
+    c = _candidates(s, d)
+    ranked = c.join(_ranking(c).withColumnRenamed("score", "given"), "pos").orderBy(F.desc("given"), "response_pos", "pos").limit(5)
+    five = ranked.withColumn("place", (F.row_number().over(Window.orderBy(F.desc("given"), "response_pos", "pos")) - 1).cast("int")).drop("pos", "response_pos")
+    full = table(s, d, "full_chunks").join(F.broadcast(five.select("chunk_id").where("chunk_id is not null").distinct()), "chunk_id", "left_semi")  # at most five ids
+    rows = context.with_code(five, full).withColumn("block", context.section()).withColumnRenamed("place", "pos")
+    fit = context.prefix_within(context.block_tokens(rows), [], 4000)
+    return fit.select("pos", "vec_id", "score", "given", F.col("block").alias("section"))
 
 
 # --- cache ----------------------------------------------------------------------------------------

@@ -164,3 +164,12 @@ def rank(provider: Provider, prompt: str, n: int) -> list[tuple[int, float]]:
         return everyone
     good = [(r.chunk_id, r.score) for r in reply.rankings if 0 <= r.chunk_id < n]
     return good or everyone
+
+
+def refine(provider: Provider, question: str, blocks: list[str]) -> str:
+    """What the chosen chunks say about a question, as a model puts it; raises what the provider raises."""
+    prompt = (
+        f"Question: {question}\n\nSay in one paragraph how the parts below answer it, then describe each part in a line that starts with its number."
+        " Repeat no code.\n\n" + "\n\n".join(blocks)
+    )
+    return provider.generate(prompt, temperature=0.2).strip()
