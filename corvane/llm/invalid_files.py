@@ -7,7 +7,8 @@ version.  A text that occurs again in a batch is parsed once.
 Defined results: null code or a language without a parser gives no verdict (``valid``
 null) and never counts as invalid; an empty file is valid in every language but Go
 (which needs ``package``; an empty Go file is not flagged either, for it declares
-nothing wrong); nesting too deep to parse is not flagged; repeated rows count once.
+nothing wrong); a text nested too deep to parse has no verdict unless an error was
+found all the same; repeated rows count once.
 """
 
 from __future__ import annotations

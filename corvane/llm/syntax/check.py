@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import ast
 import re
 import sys
-import warnings
 from typing import NamedTuple
 
 from . import curly, golang, lexer, pythonlang, rustlang, script
+from .prepare import bad_regex, prepare
 
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 8000))
 
@@ -16,7 +15,7 @@ sys.setrecursionlimit(max(sys.getrecursionlimit(), 8000))
 class Verdict(NamedTuple):
     """``valid``; the number of errors; the first one's line and message; all of them as ``line: message``."""
 
-    valid: bool
+    valid: bool | None
     n_errors: int
     line: int | None
     cause: str | None
@@ -37,27 +36,34 @@ _GO_PACKAGE = re.compile(r"\s*+(?:(?://[^\n]*\n|/\*.*?\*/)\s*+)*+package\b", re.
 
 
 def check(code: str, lang: str) -> Verdict | None:
-    """Whether ``code`` is valid ``lang``; None for a language without a parser.  Markdown always is valid."""
+    """Whether ``code`` is valid ``lang``; None for a language without a parser.  Markdown always is valid.
+
+    A text nested too deep to parse keeps the errors found before and those of its brackets, which are
+    matched without recursion; ``valid`` is None where there are none.
+    """
     if lang == "markdown":
         return Verdict(True, 0, None, None, [])
     if lang != "python" and lang not in _PARSERS:
         return None
-    if code.startswith("﻿"):
+    if code.startswith("\ufeff"):
         code = code[1:]
+    places, deep, early, marked = None, False, [], ""
     if lang == "python":
         lex = lexer.PYTHON
         code = "\n" + code  # the first line's indentation counts as well
         tokens = lex.tokens(code)
-        found = pythonlang.parse(tokens, lex.kind_string(tokens))
-        if found and _python_accepts(code[1:]):
-            found = []
+        kinds = lex.kind_string(tokens)
+        try:
+            found = pythonlang.parse(tokens, kinds)
+        except RecursionError:
+            found, deep = [], True
     else:
         lex, parser, end_lines = _PARSERS[lang]
         if "\r" in code:
             code = code.replace("\r\n", "\n").replace("\r", "\n")
+        code, early = prepare(code, lang)
         tokens = lex.tokens(code)
         kinds = lex.kind_string(tokens)
-        places = None
         if end_lines is not None:
             marked = end_lines(kinds)
             kinds = marked.replace(" ", "")
@@ -67,28 +73,31 @@ def check(code: str, lang: str) -> Verdict | None:
                 run.errors.append((0, "expected 'package'"))
             run.file("top")
         except RecursionError:
-            run.errors = []  # nested too deeply to tell: not flagged
+            deep = True
         found = run.errors
-        if found and end_lines is not None:
-            places = [k for k, c in enumerate(marked) if c != " "] + [len(marked)]
-            found = [(places[min(p, len(places) - 1)], why) for p, why in found]
-    if not found:
-        return Verdict(True, 0, None, None, [])
+    if deep and (p := _unmatched(kinds)) is not None:
+        found = [*found, (p, "brackets don't match")]
+    if found and marked:
+        places = [k for k, c in enumerate(marked) if c != " "] + [len(marked)]
+        found = [(places[min(p, len(places) - 1)], why) for p, why in found]
+    if lang in ("javascript", "typescript") and "(" in code:
+        found = [*found, *((k, "groups of a regular expression don't match") for k, t in enumerate(tokens) if t[:1] == "/" and len(t) > 2 and t[1] not in "/*" and bad_regex(t))]
+    if not found and not early:
+        return Verdict(None if deep else True, 0, None, None, [])
     found = sorted(set(found))
     lines = lex.lines_of(code, [p for p, _ in found])
     if lang == "python":
         lines = [n - 1 or 1 for n in lines]
-    return Verdict(False, len(found), lines[0], found[0][1], [f"{n}: {why}" for n, (_, why) in zip(lines, found)])
+    all_errors = sorted([*zip(lines, [why for _, why in found]), *early], key=lambda e: e[0])
+    return Verdict(False, len(all_errors), all_errors[0][0], all_errors[0][1], [f"{n}: {why}" for n, why in all_errors])
 
 
-def _python_accepts(code: str) -> bool:
-    """The exact check behind the parser, run only on what it flags."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(code)
-        return True
-    except (SyntaxError, ValueError):
-        return False
-    except (RecursionError, MemoryError):
-        return True
+def _unmatched(kinds: str) -> int | None:
+    """Where brackets first don't match."""
+    shut, stack = {"(": ")", "[": "]", "{": "}"}, []
+    for k, c in enumerate(kinds):
+        if c in shut:
+            stack.append(shut[c])
+        elif c in ")]}" and (not stack or stack.pop() != c):
+            return k
+    return len(kinds) if stack else None

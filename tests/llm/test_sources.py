@@ -254,3 +254,31 @@ def test_trailing_marks_count_however_long(spark):
     body = "x = 1\ny = 2\n"
     assert P.evidence(body + "# note\n" * 3000 + "# @generated\n" + "# note\n" * 3000, "a.py")[0][1] > 5
     assert P.evidence(body, "a.py")[0][1] < 0
+
+
+CORNERS = {
+"javascript":["#!/usr/bin/env node\nfoo()\n","const a = <div className=\"x\" {...p}>hi {b.map(x => <B key={x}/>)} it's<br/></div>;\nfoo(a)\n","function F() {\n  return (\n    <>\n      <A.B on={() => { go() }}>text</A.B>\n    </>\n  )\n}\n","x = /a(b)[(]/.test(y)"],
+"typescript":["type A<T> = T extends [infer U extends string, ...infer R] ? U : never;\n","const f = <T,>(x: T) => x;\nconst y = <any>z;\n","export default function App(): any { return <p>{x}</p>; }\n"],
+"c":["int f(void) __attribute__((noreturn));\nint g(int x) { asm volatile(\"nop\" : : \"r\"(x)); __asm__(\"x\"); return _Generic(x, int: 1, default: 2); }\n","int f(a, b)\n  int a;\n  char *b;\n{\n  return a;\n}\n","void f(void) { list_for_each_entry(p, &head, list) { g(p); } }\n","#ifdef A\nint f(int a) {\n#else\nint f(long a) {\n#endif\n  return 1;\n}\n#if 0\n garbage (\n#endif\n"],
+"cpp":["template <typename T> concept Addable = requires(T a) { a + a; { a.f() } -> std::same_as<int>; };\ntemplate <typename T> requires Addable<T> && std::integral<T> T add(T a, T b) { return a + b; }\ntask f() { auto x = co_await g(); co_return x; }\nauto l = []<typename T>(T x) { return x; };\n"],
+"java":["public sealed interface S permits A, B {}\nnon-sealed class A implements S {}\nclass X { int f(Object o) { if (o instanceof P(int x, Q(var y))) { return 1; } return switch (o) { case P(int a, var b) -> a; default -> 0; }; } }\n"],
+"rust":["/* a /* b */ c */\nfn f<'a>(x: &'a u8) -> impl Fn() + use<'a> { move || {} }\n"],
+}
+CORNERS_BROKEN = {"javascript":["x = /(/.test(y)","const a = <div><b></div>;\n","f("*3000],"c":["#ifdef A\nint x;\n","int x;\n#endif\n","int f(){ return g(((1); }"]}
+
+
+@pytest.mark.parametrize("lang, code", [(lang, c) for lang, cs in CORNERS.items() for c in cs])
+def test_valid_corners(lang, code):
+    assert check(code, lang).errors == []
+
+
+@pytest.mark.parametrize("lang, code", [(lang, c) for lang, cs in CORNERS_BROKEN.items() for c in cs])
+def test_broken_corners(lang, code):
+    v = check(code, lang)
+    assert v.valid is False and v.n_errors == len(v.errors) >= 1
+
+
+def test_too_deep_texts_have_no_verdict_and_keep_errors():
+    assert check("x = " + "(" * 30_000 + "1" + ")" * 30_000, "javascript").valid is None
+    assert check("let = ;\nx = " + "(" * 30_000 + "1" + ")" * 30_000, "javascript").valid is False
+    assert check("f(" * 3000, "java").valid is False
