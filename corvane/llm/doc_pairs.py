@@ -1,10 +1,11 @@
 """Problem 6: functions paired with their documentation.
 
-The functions of a file are found by their line ranges; the text from the comment
-directly above a function to its end is parsed by a packrat grammar of the file's
-language, whose captures (documentation, name, code) keep source offsets.  A semantic
-action turns the captures into a pair; a filter drops documentation that says nothing
-beyond the function's name and signature.
+A packrat grammar of the file's language is tried wherever a function can begin, from the
+comment directly above; its captures (documentation, name, code) keep source offsets, and
+that is how functions are extracted from a file, whether or not a table knows them
+(:func:`extract`, :func:`extracted_functions`).  The functions of a table are those extracted at their lines; where none was, the
+grammar is tried on the lines themselves.  A semantic action turns the captures into a pair;
+a filter drops documentation that says nothing beyond the function's name and signature.
 
 Only narrow rows and each file's current text are shuffled, once, by file; the functions
 of one file stay together.  Code is attached afterwards, to documented functions only.
@@ -17,6 +18,7 @@ give no pair.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -222,24 +224,143 @@ def pair(text: str, lang: str) -> tuple[str, str, int, int] | None:
     return None
 
 
+#: Lines at which a function can begin; the grammar decides.
+_MAY_BEGIN = {
+    "python": re.compile(r"\s*(?:async\s+)?def\b"),
+    "go": re.compile(r"func\b"),
+    "rust": re.compile(r"\s*(?:pub\b|async\b|const\b|unsafe\b|extern\b|default\b|fn\b)[^;={]*\bfn\b|\s*fn\b"),
+    "javascript": re.compile(r"\s*(?:export\b|async\b|function\b|(?:const|let|var)\s+[\w$]+[^=]*=|[*#\w$][\w$#\s]*[(<])(?!.*;\s*$(?<!\};))"),
+    "java": re.compile(r"\s*[\w@<][^=;\"]*\("),
+    "c": re.compile(r"[\w~][^=;\"]*\(|\s+[\w~][\w\s*&:<>,~]*\([^;]*\)?[^;]*$"),
+}
+_MAY_BEGIN["typescript"], _MAY_BEGIN["cpp"] = _MAY_BEGIN["javascript"], _MAY_BEGIN["c"]
+_NOT_HERE = re.compile(r"\s*(?:if|for|while|switch|catch|return|else|do|try|throw|new|case|await|yield|class|import|package)\b")
+
+
+#: Lines that belong to the function below them.
+_LEADING = {"python": re.compile(r"\s*@"), **{lang: _ATTRIBUTE[lang] for lang in ("java", "javascript", "typescript", "cpp")}}
+
+
+class Source:
+    """A file's lines and where they stand in the stored text, whatever its line ends."""
+
+    def __init__(self, code: str):
+        self.lines, self.starts, self.at = [], [], [0]
+        for m in re.finditer(r"([^\r\n]*)(\r\n|\r|\n|\Z)", code):
+            if m.end() == m.start() and self.lines and code[-1:] not in ("\r", "\n"):
+                break
+            self.lines.append(m.group(1))
+            self.starts.append(m.start())
+            self.at.append(self.at[-1] + len(m.group(1)) + 1)
+        self.text = "\n".join(self.lines)
+
+    def stored(self, offset: int) -> int:
+        """Where an offset of the text with ``\\n`` line ends stands in the stored text."""
+        k = bisect.bisect_right(self.at, offset) - 1
+        return self.starts[min(k, len(self.starts) - 1)] + offset - self.at[min(k, len(self.starts) - 1)]
+
+    def part(self, first: int, last: int) -> str:
+        return "\n".join(self.lines[first:last])
+
+
+def _end_line(source: Source, start: int, lang: str) -> int:
+    """The line (from 0) behind a function that begins at line ``start``."""
+    lines = source.lines
+    if lang == "python":
+        indent = len(lines[start]) - len(lines[start].lstrip())
+        k, depth = start, 0
+        while k < len(lines):
+            bare = _PLAIN_STRING.sub("", lines[k])
+            deeper = not bare.strip() or len(lines[k]) - len(lines[k].lstrip()) > indent
+            if k > start and not depth and not deeper:
+                break
+            depth = max(0, depth + sum(bare.count(c) for c in "([{") - sum(bare.count(c) for c in ")]}"))
+            k += 1
+        while k > start + 1 and not lines[k - 1].strip():
+            k -= 1
+        return k
+    depth = 0
+    for m in _BRACE.finditer(source.text, source.at[start]):
+        c = m.group()
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth <= 0 and c == "}":
+                return source.text.count("\n", 0, m.end()) + 1
+        elif c == ";" and not depth:
+            return source.text.count("\n", 0, m.end()) + 1
+    return len(lines)
+
+
+_PLAIN_STRING = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|#.*")
+_BRACE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)'|`(?:[^`\\]|\\.)*`|[()\[\]{};]", re.S)
+
+
+def _found_at(source: Source, start: int, end: int, lang: str) -> tuple | None:
+    """(name, documentation, offset of the function, of the documentation) of the function at lines ``start`` to ``end`` (from 0), in the stored text."""
+    first = comment_start(source.lines, start, lang)
+    got = pair(source.part(first, end), lang)
+    if got is None:
+        return None
+    name, doc, at, doc_at = got
+    return name, doc, source.stored(source.at[first] + at), source.stored(source.at[first] + doc_at)
+
+
+def extract(code: str, lang: str) -> Iterator[tuple]:
+    """Every documented function that the grammar finds in a file: (first line, last line, name, documentation, offset of the function, of the documentation)."""
+    may = _MAY_BEGIN.get(lang)
+    if may is None:
+        return
+    source = Source(code)
+    for k, line in enumerate(source.lines):
+        if may.match(line) is None or _NOT_HERE.match(line):
+            continue
+        start = k
+        mark = _LEADING.get(lang)
+        while mark is not None and start and mark.match(source.lines[start - 1]):
+            start -= 1
+        end = _end_line(source, k, lang)
+        got = _found_at(source, start, end, lang)
+        if got is not None:
+            yield start + 1, end, *got
+
+
 def functions_of_file(code: str, lang: str, wanted: list) -> Iterator[tuple]:
-    """For each wanted (chunk_id, start_line, end_line) with documentation: its id, name, documentation and character offsets in the file."""
-    lines = code.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    starts = [0]
-    for line in lines:
-        starts.append(starts[-1] + len(line) + 1)
+    """For each wanted (chunk_id, start_line, end_line) with documentation: its id, name, documentation and the offsets of both in the stored text."""
+    source = Source(code)
+    found = {start: f for start, _, *f in extract(code, lang)} if wanted else {}
     for chunk_id, start, end in wanted:
-        if start is None or end is None or not 1 <= start <= end or start > len(lines):
+        if start is None or end is None or not 1 <= start <= end or start > len(source.lines):
             continue
-        first = comment_start(lines, start - 1, lang)
-        got = pair("\n".join(lines[first : min(end, len(lines))]), lang)
+        got = found.get(start) or _found_at(source, start - 1, min(end, len(source.lines)), lang)
         if got is not None:
             name, doc, at, doc_at = got
-            yield chunk_id, name, doc, starts[first] + doc_at, starts[first] + at
+            yield chunk_id, name, doc, doc_at, at
+
+
+def extracted_functions(files: DataFrame) -> DataFrame:
+    """(index_prefix, file_path, lang, start_line, end_line, name, documentation, code_offset) of all documented functions in the current files, by the grammars alone."""
+    version = F.struct(F.col("scanned_at").isNotNull().alias("d"), "scanned_at", F.coalesce("sha256", F.lit("")).alias("s"))
+    rows = files.where("code is not null and file_path is not null and index_prefix is not null")
+    current = rows.groupBy(*KEY).agg(F.max(version).alias("v"))
+    texts = rows.select(*KEY, "lang", version.alias("v"), "code").join(current, [*KEY, "v"])
+    schema = "index_prefix string, file_path string, lang string, start_line int, end_line int, name string, documentation string, code_offset int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [
+                (prefix, path, lang, *f[:5])
+                for prefix, path, lang, code in zip(pdf["index_prefix"], pdf["file_path"], pdf["lang"], pdf["code"])
+                for f in extract(code, (lang or "").strip().lower())
+            ]
+            yield pd.DataFrame(out, columns=["index_prefix", "file_path", "lang", "start_line", "end_line", "name", "documentation", "code_offset"])
+
+    return texts.mapInPandas(run, schema).dropDuplicates([*KEY, "start_line"])
 
 
 def documented_functions(functions: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per function chunk with informative documentation; offsets count characters of the text with ``\\n`` line ends."""
+    """One row per function chunk with informative documentation; offsets count characters of the stored text."""
     wanted = (
         functions.where(F.col("node_type").isin(*FUNCTION_TYPES) & F.col("chunk_id").isNotNull() & F.col("start_line").isNotNull())
         .groupBy(*KEY).agg(F.collect_set(F.struct("chunk_id", "start_line", "end_line")).alias("wanted"))

@@ -61,6 +61,11 @@ def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p6_extracted(spark: SparkSession, sf: str) -> DataFrame:
+    found = doc_pairs.extracted_functions(table(spark, sf, "source_files"))
+    return found.select("index_prefix", "file_path", "lang", "start_line", "end_line", "name", "documentation")
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return invalid_files.invalid_files(table(spark, sf, "source_files")).select("index_prefix", "file_path")
 

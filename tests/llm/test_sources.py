@@ -282,3 +282,18 @@ def test_too_deep_texts_have_no_verdict_and_keep_errors():
     assert check("x = " + "(" * 30_000 + "1" + ")" * 30_000, "javascript").valid is None
     assert check("let = ;\nx = " + "(" * 30_000 + "1" + ")" * 30_000, "javascript").valid is False
     assert check("f(" * 3000, "java").valid is False
+
+
+def test_functions_are_extracted_with_stored_offsets_whatever_the_line_ends():
+    for lang in CODE:
+        code, wanted, expected = CODE[lang]
+        for text in (code, code.replace("\n", "\r\n"), code.replace("\n", "\r")):
+            got = {f[0]: f for f in D.extract(text, lang)}
+            for chunk, start, end in wanted:
+                if chunk in expected:
+                    first, last, name, doc, at, doc_at = got[start]
+                    assert doc == expected[chunk] and last == end
+                    assert doc.split()[0] in text[doc_at : doc_at + 40] and name in text[at : at + 80]
+            again = list(D.functions_of_file(text, lang, wanted))
+            assert {r[0]: r[2] for r in again} == expected and all(r[1] in text[r[4] : r[4] + 80] for r in again)
+    assert list(D.extract("", "python")) == list(D.extract("x = 1", "cobol")) == []
