@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from corvane.config import Config
+from corvane.config import Config, interview
 from corvane.engine import ContextEngine
 from corvane.providers import HashProvider, HttpProvider, Provider
 from corvane.session import session
@@ -34,11 +34,12 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("index")
     p = sub.add_parser("config")
     p.add_argument("path")
+    p.add_argument("--ask", action="store_true", help="ask for every setting")
     p = sub.add_parser("serve")
     p.add_argument("--indexes", default="indexes")
     a = parser.parse_args(args)
     if a.command == "config":
-        Config().save(a.path)
+        (interview(input) if a.ask else Config()).save(a.path)
         return 0
     config = Config.load(a.config) if a.config else Config()
     if a.command == "serve":

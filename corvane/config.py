@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, fields
 
 # What the engine indexes and leaves out by default.
 LANGUAGES = {
@@ -40,3 +41,36 @@ class Config:
     def save(self, path: str) -> None:
         with open(path, "w", encoding="utf-8") as f:
             json.dump(asdict(self), f, indent=2)
+
+
+def interview(ask: Callable[[str], str], say: Callable[[str], None] = print) -> Config:
+    """Settings from answers; an empty answer keeps a default, lists are asked for item by item."""
+    c = Config()
+    provider = ""
+    while provider not in ("hash", "http"):
+        provider = ask(f"Provider, hash (offline) or http [{c.provider}]: ").strip().lower() or c.provider
+    c.provider = provider
+    if provider == "http":
+        while not c.api_base:
+            c.api_base = ask("Address of the model service: ").strip() or None
+        c.api_key = ask("Key, empty for none: ").strip() or None
+    if ask("Keep the defaults for the rest? (Y/n): ").strip().lower() not in ("n", "no"):
+        return c
+    for f in fields(c):
+        now = getattr(c, f.name)
+        if f.name in ("provider", "api_base", "api_key") or isinstance(now, dict):
+            continue
+        if isinstance(now, list):
+            if ask(f"Change {f.name}? (y/N): ").strip().lower() in ("y", "yes"):
+                say("One a line, an empty line ends:")
+                items = []
+                while (item := ask("> ").strip()):
+                    items.append(item)
+                setattr(c, f.name, items)
+            continue
+        given = ask(f"{f.name} [{now}]: ").strip()
+        while given and isinstance(now, int) and not given.isdigit():
+            given = ask(f"{f.name}, a number [{now}]: ").strip()
+        if given:
+            setattr(c, f.name, int(given) if isinstance(now, int) else given)
+    return c

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import dot, norm
+from corvane.functions import dot, norm, unit
 
 THRESHOLD = 0.3
 TOP_K = 20
@@ -70,3 +70,29 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str =
         out = hits if out is None else out.unionByName(hits)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+class FlatIndex:
+    """An exact inner-product index: unit vectors in a folder of parquet files, written once and read by any number of searches."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "vec_id"):
+        self.spark, self.path, self.key = spark, path, key
+
+    @classmethod
+    def build(cls, vectors: DataFrame, path: str, key: str = "vec_id", dim: int = 64) -> FlatIndex:
+        """Normalise the usable vectors and write them; an index that is there already is an error."""
+        usable(vectors, dim).select(key, unit(F.col("embedding")).alias("embedding")).write.parquet(path)
+        return cls(vectors.sparkSession, path, key)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def dim(self) -> int | None:
+        """The vectors' length; None for an empty index."""
+        first = self.rows().select(F.size("embedding").alias("n")).first()
+        return None if first is None else first.n
+
+    def search(self, query: DataFrame, k: int = TOP_K) -> DataFrame:
+        """(key, raw): the k best for a one-row query ``(q array<double>)`` of length one."""
+        rows = self.rows().crossJoin(F.broadcast(query.limit(1)))
+        return rows.select(self.key, dot(F.col("embedding"), F.col("q")).alias("raw")).orderBy(F.desc(F.round("raw", 6)), self.key).limit(k)

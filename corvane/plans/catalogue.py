@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions import after_first_line, ascii_strip, base_name, chunk_id, extension, folder, line_array, norm, project_id, tokens_about, unit, white_strip
 from corvane.operators import cache, changes, context, incremental, ranges, search
 from corvane.operators.chunking import chunk_files
-from corvane.session import table
+from corvane.session import ensure_checkpoint_dir, table
 from corvane.tokens import token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +96,13 @@ def _(s, d):
     return _ranked(s, d).select("vec_id", F.round("raw", 6).alias("score"))
 
 
+@query("index_search", f"with {TOP_SQL} select vec_id, round(raw, 6) as score from top")
+def _(s, d):
+    """The same from an index that is written and read again."""
+    index = search.FlatIndex.build(table(s, d, "index_vectors"), f"{ensure_checkpoint_dir(s).rstrip('/')}/index-{uuid.uuid4().hex}")
+    return index.search(_query_vector(s, d)).select("vec_id", F.round("raw", 6).alias("score"))
+
+
 @query("search_threshold", f"with {TOP_SQL} select vec_id, round(raw, 6) as score from top where raw > 0.3")
 def _(s, d):
     return search.above(_ranked(s, d)).select("vec_id", F.round("raw", 6).alias("score"))

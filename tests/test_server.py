@@ -60,3 +60,25 @@ def test_refinement(spark, tmp_path):
 def test_arrow_functions_outside_declarations_are_chunked():
     code = "app.get('/x', async (req, res) => {\n  res.send(await find(req));\n});\nconst twice = (x) => {\n  return x + x + 1;\n};\n"
     assert [(c.type, c.start_line, c.end_line) for c in chunk_code(code, "javascript") if c.type] [:2] == [("arrow_function", 1, 3), ("lexical_declaration", 4, 6)]
+
+
+def test_interview_keeps_defaults_and_asks_again():
+    from corvane.config import Config, interview
+
+    answers = iter(["", ""])
+    assert interview(lambda _: next(answers), lambda _: None) == Config()
+    answers = iter(["x", "http", "", "http://m", "k", "n", "y", "gen", "out", "", "", "soon", "60", "chat-1", "", "n"])
+    c = interview(lambda _: next(answers), lambda _: None)
+    assert (c.provider, c.api_base, c.api_key, c.ignored_dirs, c.ttl_seconds, c.chat_model, c.embedding_model) == ("http", "http://m", "k", ["gen", "out"], 60, "chat-1", None)
+
+
+def test_side_store(spark, tmp_path):
+    from corvane.sources import side_store as S
+
+    rows = [("a", ".py", "x = 1\r\né"), ("a", ".py", "w"), ("b", None, "t"), (None, ".py", "z"), ("c", ".py", None)]
+    S.save_full_code(spark.createDataFrame(rows, "chunk_id string, ext string, content string"), str(tmp_path))
+    assert S.load_full_code(str(tmp_path), "a", [".js", ".py"]) == "x = 1\r\n" and S.load_full_code(str(tmp_path), "b", [".py"]) == "t"
+    assert S.load_full_code(str(tmp_path), "c", [".py"]) == "[Chunk c not found]"
+    assert S.load_metadata(str(tmp_path)) == {}
+    S.save_metadata({"a": {"n": 1}}, str(tmp_path))
+    assert S.load_metadata(str(tmp_path)) == {"a": {"n": 1}}
