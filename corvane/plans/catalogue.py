@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions import after_first_line, ascii_strip, base_name, chunk_id, extension, folder, line_array, norm, project_id, tokens_about, unit, white_strip
 from corvane.operators import cache, changes, context, incremental, ranges, search
 from corvane.operators.chunking import chunk_files
-from corvane.session import ensure_checkpoint_dir, table
+from corvane.session import cut_lineage, ensure_checkpoint_dir, table
 from corvane.tokens import token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,9 +473,13 @@ def _(s, d):
 RANKING_SQL = f"{CAND_SQL}, rk as (select (length(text) % 23)::INT as response_pos, pos, round(length(text) % 11 / 2.0, 1)::DOUBLE as given from cand where pos % 3 <> 2)"
 
 
+def _scored(cand: DataFrame) -> DataFrame:
+    """Candidates beside a stand-in for a model's partial reply: scores by length, a third of the candidates left out."""
+    return cand.where("pos % 3 <> 2").withColumn("response_pos", F.length("text") % 23).withColumn("given", F.round((F.length("text") % 11) / 2.0, 1))
+
+
 def _ranking(cand: DataFrame) -> DataFrame:
-    """A stand-in for a model's partial reply: scores by length, a third of the candidates left out."""
-    return cand.where("pos % 3 <> 2").select((F.length("text") % 23).alias("response_pos"), "pos", F.round((F.length("text") % 11) / 2.0, 1).alias("score"))
+    return _scored(cand).select("response_pos", "pos", F.col("given").alias("score"))
 
 
 @query("rerank_apply", f"with {RANKING_SQL} select cand.pos, vec_id, given as score from cand join rk using (pos)")
@@ -564,8 +568,8 @@ select place as pos, vec_id, score, given, section from fit where used <= 4000""
 def _(s, d):
     """Search, threshold, 25 candidates, ranking, the best five, code behind their ids, the longest prefix within the budget."""
     c = _candidates(s, d)
-    ranked = c.join(_ranking(c).withColumnRenamed("score", "given"), "pos").orderBy(F.desc("given"), "response_pos", "pos").limit(5)
-    five = ranked.withColumn("place", (F.row_number().over(Window.orderBy(F.desc("given"), "response_pos", "pos")) - 1).cast("int")).drop("pos", "response_pos")
+    ranked = _scored(c).orderBy(F.desc("given"), "response_pos", "pos").limit(5)
+    five = cut_lineage(ranked).withColumn("place", (F.row_number().over(Window.orderBy(F.desc("given"), "response_pos", "pos")) - 1).cast("int")).drop("pos", "response_pos")
     full = table(s, d, "full_chunks").join(F.broadcast(five.select("chunk_id").where("chunk_id is not null").distinct()), "chunk_id", "left_semi")  # at most five ids
     rows = context.with_code(five, full).withColumn("block", context.section()).withColumnRenamed("place", "pos")
     fit = context.prefix_within(context.block_tokens(rows), [], 4000)
