@@ -12,11 +12,12 @@ Items are partitioned by size (a power of two of their passage count): large ite
 many passages and hence more chance signatures, so their partitions ask for more MinHash rows to
 agree.  A document's signatures for all partitions come out of one pass over its rows.
 
-Neither table is held by the driver.  The signatures of all items are folded into one filter of fixed size
-(``FILTER_BITS``), which is broadcast; the corpus is read once, whatever the number of items,
-and only passages whose signature is in the filter go on, as (signature, word run).  They are
-joined with the items' passages on both, which is the exact containment check.  More items
-than the filter was made for let more passages through and lose none.
+Neither table is held by the driver, and passages are kept only where both sides may have them.  The signatures of
+all items are folded into a filter, sized by the items' length up to ``FILTER_BITS``, which is broadcast; the corpus
+is read once, whatever the number of items, and only passages whose signature is in the filter are kept, as 16-byte
+digests of their words.  Their signatures make a second filter, by which a second reading of the items keeps the
+passages that documents may have.  Equal digests are the containment check.  More items than the filter was made
+for let more passages through and lose none.
 
 Words are runs of letters, digits and underscores in the consistent form of
 :mod:`corvane.llm.lookalikes`, lower-cased; HTML tags, entities and link targets are markup.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,8 +44,12 @@ from .lookalikes import readable
 
 PASSAGE = 12
 SHINGLE = 5
-FILTER_BITS = 1 << 27
-"""Size of the broadcast filter: 16 MB, made for some ten million item passages."""
+FILTER_BITS = 1 << 29
+"""Greatest size of a broadcast filter: 64 MB, made for some seventy million passages."""
+FILTER_BLOCK = 1 << 13
+"""Words of a filter that are merged together."""
+SLICE_CHARS = 1 << 22
+"""Characters that are cut into words at once (a longer text makes a slice of its own)."""
 _MARKUP = re.compile(r"</?[a-zA-Z][a-zA-Z0-9-]*(?:\s[^<>]*)?/?>|&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,6});|(?<=\])\([^()\s]*\)")
 _WORD = re.compile(r"\w+")
 _PERMUTE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -103,9 +109,15 @@ class _Numbers(dict):
         return out
 
 
-def _passages(texts: Iterable[str], passage: int) -> tuple[list[list[str]], np.ndarray, np.ndarray, list[np.ndarray]]:
+def _slices(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch by rows of about ``SLICE_CHARS`` characters together."""
+    at = np.cumsum(pdf["t"].map(len).to_numpy(np.int64)) // SLICE_CHARS
+    for k in np.unique(at):
+        yield pdf[at == k]
+
+
+def _passages(texts: Iterable[str], passage: int, numbers: _Numbers) -> tuple[list[list[str]], np.ndarray, np.ndarray, list[np.ndarray]]:
     """The words of every text, and for every passage of them the text, the first word and the signatures."""
-    numbers = _Numbers()
     all_words = [words(t) for t in texts]
     sizes = np.array([len(w) for w in all_words], dtype=np.int64)
     ids = np.fromiter((numbers[w] for ws in all_words for w in ws), dtype=np.uint64, count=int(sizes.sum()))
@@ -120,28 +132,109 @@ def _passages(texts: Iterable[str], passage: int) -> tuple[list[list[str]], np.n
     return all_words, text[inside], inside - starts[text[inside]], [x[inside] for x in sketch]
 
 
-def _item_runs(passage: int):
+# --- filters -------------------------------------------------------------------------------------
+
+def filter_bits(passages: float) -> int:
+    """Bits of a filter for so many passages: a power of two, eight a passage where ``FILTER_BITS`` allows."""
+    return min(FILTER_BITS, max(1 << 16, 1 << int(8 * passages).bit_length()))
+
+
+def _places(sig: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The word and the bit of the two places of every signature in a filter."""
+    for h in (sig, _mix(sig)):
+        at = h & np.uint64(bits - 1)
+        yield (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+
+
+def _held(filter_: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Which signatures may be among those of a filter."""
+    out = np.ones(len(sig), bool)
+    for word, bit in _places(sig, 64 * len(filter_)):
+        out &= (filter_[word] & bit) != 0
+    return out
+
+
+def _fold(sigs: Iterable[np.ndarray], bits: int) -> Iterator[pd.DataFrame]:
+    """The filter of a task's signatures, as its blocks that hold any."""
+    filter_ = np.zeros(bits >> 6, np.uint64)
+    for sig in sigs:
+        for word, bit in _places(sig, bits):
+            np.bitwise_or.at(filter_, word, bit)
+    for k in range(0, len(filter_), FILTER_BLOCK):
+        part = filter_[k : k + FILTER_BLOCK]
+        if part.any():
+            yield pd.DataFrame({"block": [k], "words": [zlib.compress(part.tobytes(), 1)]})
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint64) for x in pdf["words"]])
+    return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "words": [zlib.compress(out.tobytes(), 1)]})
+
+
+def _filter(folded: DataFrame, bits: int) -> np.ndarray:
+    """The filter of all tasks; at most ``FILTER_BITS`` reach the driver, whatever the number of items."""
+    out = np.zeros(bits >> 6, np.uint64)
+    for r in folded.groupBy("block").applyInPandas(_merge, _BLOCKS).collect():
+        part = np.frombuffer(zlib.decompress(r.words), np.uint64)
+        out[r.block : r.block + len(part)] = part
+    return out
+
+
+_BLOCKS = "block long, words binary"
+
+
+# --- both sides ----------------------------------------------------------------------------------
+
+def _digests(ws: list[list[str]], text: np.ndarray, first: np.ndarray, passage: int) -> list[bytes]:
+    return [hashlib.blake2b(" ".join(ws[t][k : k + passage]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t, k in zip(text, first)]
+
+
+def _item_filter(passage: int, bits: int):
+    """The filter of the items' signatures, each of the rows of its item's size."""
+
+    def sigs(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        numbers = _Numbers()
+        for pdf in batches:
+            for part in _slices(pdf):
+                ws, text, _, sketch = _passages(part["t"], passage, numbers)
+                if len(text):
+                    rows = np.array([rows_for(max(1, len(w) - passage + 1)) for w in ws], dtype=np.int64)[text] - 1
+                    yield np.choose(rows, sketch)
+
+    return lambda batches: _fold(sigs(batches), bits)
+
+
+def _signature_filter(bits: int):
+    """The filter of a column of signatures."""
+    return lambda batches: _fold((pdf["sig"].to_numpy(np.int64).view(np.uint64) for pdf in batches), bits)
+
+
+def _document_runs(shared, passage: int):
+    """The passages of documents that have one of their signatures in the items' filter."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = _Numbers()
         for pdf in batches:
-            ws, text, first, sketch = _passages(pdf["t"], passage)
-            rows = np.array([rows_for(max(1, len(w) - passage + 1)) for w in ws], dtype=np.int64)[text] - 1 if len(text) else np.empty(0, np.int64)
-            sig = np.choose(rows, sketch).astype(np.int64) if len(text) else np.empty(0, np.int64)
-            yield pd.DataFrame({"sig": sig, "run": [" ".join(ws[t][k : k + passage]) for t, k in zip(text, first)], "item_id": pdf["k"].to_numpy()[text]})
+            for part in _slices(pdf):
+                ws, text, first, sketch = _passages(part["t"], passage, numbers)
+                hit = np.flatnonzero(np.logical_or.reduce([_held(shared.value, sig) for sig in sketch]))
+                out = pd.DataFrame({"doc_id": part["k"].to_numpy()[text[hit]], "run": _digests(ws, text[hit], first[hit], passage), "sig": sketch[-1][hit].astype(np.int64)})
+                yield out.drop_duplicates(["doc_id", "run"])
 
     return run
 
 
-def _document_runs(shared, passage: int):
+def _item_runs(shared, passage: int):
+    """The passages of items that have their signature in the documents' filter."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.uint64(64 * len(shared.value) - 1)
+        numbers = _Numbers()
         for pdf in batches:
-            ws, text, first, sketch = _passages(pdf["t"], passage)
-            out = []
-            for sig in sketch:
-                at = sig & bits
-                hit = np.flatnonzero((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
-                out.append(pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[text[hit]], "sig": sig[hit].astype(np.int64), "run": [" ".join(ws[t][k : k + passage]) for t, k in zip(text[hit], first[hit])]}))
-            yield pd.concat(out, ignore_index=True)
+            for part in _slices(pdf):
+                ws, text, first, sketch = _passages(part["t"], passage, numbers)
+                hit = np.flatnonzero(_held(shared.value, sketch[-1]))
+                out = pd.DataFrame({"item_id": part["k"].to_numpy()[text[hit]], "run": _digests(ws, text[hit], first[hit], passage)})
+                yield out.drop_duplicates()
 
     return run
 
@@ -151,22 +244,21 @@ def leaked_items(
     item_key: str = "item_id", item_text: str = "text", passage: int = PASSAGE,
 ) -> DataFrame:
     """(doc_id, item_id) for every document holding a passage of an item's text."""
-    spark = docs.sparkSession
-    queries = items.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t")).where("k is not null and t is not null").distinct()
-    runs = cut_lineage(queries.mapInPandas(_item_runs(passage), "sig long, run string, item_id long").distinct())
-    bit = F.col("sig").bitwiseAND(FILTER_BITS - 1)
-    # at most FILTER_BITS / 64 rows reach the driver, whatever the number of items
-    words_of_filter = (
-        runs.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast((sig & {FILTER_BITS - 1}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    )
-    filter_ = np.zeros(FILTER_BITS >> 6, np.uint64)
-    filter_[words_of_filter["w"].to_numpy(np.int64)] = words_of_filter["b"].to_numpy(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(filter_)
-    source = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(doc_text).alias("t")).where(
-        (F.length("t") >= 2 * passage - 1) & F.col("doc_id").isNotNull()
+    context = docs.sparkSession.sparkContext
+    queries = items.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t")).where("k is not null and t is not null")
+    source = docs.select(F.col(doc_key).cast("long").alias("k"), F.col(doc_text).alias("t")).where(
+        (F.length("t") >= 2 * passage - 1) & F.col("k").isNotNull()
     )
-    hits = source.mapInPandas(_document_runs(shared, passage), "doc_id long, sig long, run string")
-    return hits.join(small(runs), ["sig", "run"]).select("doc_id", "item_id").distinct()
+    # some six characters a word
+    bits = filter_bits((queries.agg(F.sum(F.length("t"))).first()[0] or 0) / 6)
+    shared = context.broadcast(_filter(queries.mapInPandas(_item_filter(passage, bits), _BLOCKS), bits))
+    hits = cut_lineage(source.mapInPandas(_document_runs(shared, passage), "doc_id long, run binary, sig long"))
+    shared.unpersist()
+    bits = filter_bits(hits.count())
+    shared = context.broadcast(_filter(hits.select("sig").mapInPandas(_signature_filter(bits), _BLOCKS), bits))
+    runs = cut_lineage(queries.mapInPandas(_item_runs(shared, passage), "item_id long, run binary").distinct())
+    shared.unpersist()
+    return hits.select("doc_id", "run").join(small(runs), "run").select("doc_id", "item_id").distinct()
 
 
 def leak_report(found: DataFrame, items: DataFrame, item_key: str = "item_id", suite: str = "suite") -> DataFrame:

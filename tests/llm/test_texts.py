@@ -154,3 +154,30 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     assert {tuple(r) for r in L.leaked_items(d, e).collect()} == true
     assert L.leaked_items(d, e.limit(0)).count() == 0
     assert L.leak_report(L.leaked_items(d, e), e).first()["n_items"] == 24
+
+
+def test_leaks_keep_no_passages_that_one_side_lacks(spark, monkeypatch):
+    """What is stored on the way follows the matches, not the items' passages and not their words' lengths."""
+    rng = random.Random(6)
+    long = "x" * 3_000
+    items = [(n, " ".join(f"{rng.getrandbits(40):x}" for _ in range(200)) + f" {long}" * 12) for n in range(200)]
+    docs = [(n, " ".join(f"{rng.getrandbits(40):x}" for _ in range(50))) for n in range(200)] + [(900, items[3][1]), (901, "so " + items[7][1][:400])]
+    kept = []
+    monkeypatch.setattr(L, "cut_lineage", lambda df, cut=L.cut_lineage: kept.append(cut(df)) or kept[-1])
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {tuple(r) for r in L.leaked_items(d, e).collect()}
+    # all items end in the same twelve words
+    assert found == {(900, i) for i in range(200)} | {(901, 7)}
+    stored = [r for df in kept for r in df.collect()]
+    assert len(stored) < 2_000  # the items have 40,200 passages
+    assert max(len(v) for r in stored for v in r if isinstance(v, (str, bytes, bytearray))) <= 16
+
+
+def test_leaks_are_found_across_slices_and_blocks(spark, monkeypatch):
+    assert [len(p) for p in L._slices(L.pd.DataFrame({"t": ["a" * (L.SLICE_CHARS - 1), "b", "c" * 3 * L.SLICE_CHARS, "d"]}))] == [1, 1, 2]
+    assert list(L._slices(L.pd.DataFrame({"t": []}))) == []
+    sig = L.np.arange(1, 5_000, dtype=L.np.uint64) * L.np.uint64(0x9E3779B97F4A7C15)
+    bits = 1 << 21
+    parts = [p for k in range(3) for p in L._fold([sig[k::3]], bits)]
+    filter_ = L._filter(spark.createDataFrame(L.pd.concat(parts), L._BLOCKS), bits)
+    assert len(parts) > 3 and L._held(filter_, sig).all() and L._held(filter_, L._mix(sig)).mean() < 0.01
