@@ -107,21 +107,26 @@ def fit_cells(sample: np.ndarray, n_cells: int, rounds: int = 8, seed: int = 7)
 
 def _dots(vectors: np.ndarray, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Cosines of every query with its own row of ``ids``; -2 for -1."""
-    out = np.matmul(vectors[np.maximum(ids, 0)], queries[:, :, None])[:, :, 0]
+    out = np.matmul(vectors.take(ids, 0, mode="clip"), queries[:, :, None])[:, :, 0]
     out[ids < 0] = -2.0
     return out
 
 
+def _pick(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The elements of every row at its row of positions."""
+    return a.ravel().take(at + (np.arange(len(a)) * a.shape[1])[:, None])
+
+
 def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best distinct ids of every row, best first."""
     order = np.argsort(ids, axis=1)
-    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    ids, sims = _pick(ids, order), _pick(sims, order)
     sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -2.0
     if ids.shape[1] > k:
         top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
+        ids, sims = _pick(ids, top), _pick(sims, top)
     order = np.argsort(-sims, axis=1, kind="stable")
-    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    ids, sims = _pick(ids, order), _pick(sims, order)
     ids[sims < -1.5] = -1
     return ids, sims
 
@@ -137,8 +142,8 @@ def _tree_leaves(vectors: np.ndarray, rng: np.random.Generator, leaf: int) -> np
         ends = rng.integers(0, w, (g, 2))
         at = np.arange(g)
         along = vectors[rows[at, ends[:, 0]]] - vectors[rows[at, ends[:, 1]]]
-        order = np.argsort(np.matmul(vectors[rows], along[:, :, None])[:, :, 0], axis=1)
-        rows = np.take_along_axis(rows, order, 1).reshape(2 * g, -1) if w % 2 == 0 else _halves(np.take_along_axis(rows, order, 1))
+        rows = _pick(rows, np.argsort(np.matmul(vectors.take(rows, 0), along[:, :, None])[:, :, 0], axis=1))
+        rows = rows.reshape(2 * g, -1) if w % 2 == 0 else _halves(rows)
     return rows
 
 
@@ -156,14 +161,14 @@ def near_vectors(vectors: np.ndarray, k: int = NEAR, seed: int = 3) -> tuple[np.
         leaves = _tree_leaves(vectors, rng, max(LEAF, k + 2)).astype(np.int32)
         for a in range(0, len(leaves), 256):
             part = leaves[a : a + 256]
-            v = vectors[part]
+            v = vectors.take(part, 0)
             s = np.matmul(v, v.transpose(0, 2, 1))
             s[part[:, :, None] == part[:, None, :]] = -2.0
             w = part.shape[1]
             m = min(k, w)
             near = np.argpartition(-s, m - 1, axis=2)[:, :, :m].reshape(-1, m)
             at = part.ravel()
-            s = np.take_along_axis(s.reshape(-1, w), near, 1)
+            s = _pick(s.reshape(-1, w), near)
             near = part[np.arange(len(part)).repeat(w)[:, None], near]
             at, once = np.unique(at, return_index=True)
             ids[at], sims[at] = _best(np.concatenate((ids[at], near[once]), 1), np.concatenate((sims[at], s[once]), 1), k)
@@ -184,8 +189,8 @@ def near_vectors(vectors: np.ndarray, k: int = NEAR, seed: int = 3) -> tuple[np.
             s[s <= sims[a : a + BATCH, -1:]] = -2.0
             wide = min(2 * k, far.shape[1])
             top = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
-            all_ids = np.concatenate((ids[a : a + BATCH], np.take_along_axis(far, top, 1)), 1)
-            all_sims = np.concatenate((sims[a : a + BATCH], np.take_along_axis(s, top, 1)), 1)
+            all_ids = np.concatenate((ids[a : a + BATCH], _pick(far, top)), 1)
+            all_sims = np.concatenate((sims[a : a + BATCH], _pick(s, top)), 1)
             new_ids[a : a + BATCH], new_sims[a : a + BATCH] = _best(all_ids, all_sims, k)
         ids, sims = new_ids, new_sims
     return ids, sims
@@ -196,7 +201,8 @@ def _reverse(links: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
     n = len(links)
     src, j = np.nonzero(links >= 0)
     dst, sim = links[src, j], sims[src, j]
-    order = np.lexsort((-sim, dst))
+    order = np.argsort(-sim, kind="stable")
+    order = order[np.argsort(dst[order].astype(np.uint16 if n <= 65_536 else np.int32), kind="stable")]  # two bytes are sorted by radix
     src, dst = src[order], dst[order]
     rank = np.arange(len(dst)) - np.searchsorted(dst, np.arange(n))[dst]
     keep = rank < width
@@ -221,7 +227,7 @@ def build_level(vectors: np.ndarray, degree: int = DEGREE) -> np.ndarray:
 
 
 def _select_block(vectors: np.ndarray, start: int, near: np.ndarray, sims: np.ndarray, degree: int) -> np.ndarray:
-    around = vectors[np.maximum(near, 0)]
+    around = vectors.take(near, 0, mode="clip")
     between = np.matmul(around, around.transpose(0, 2, 1))
     n, m = near.shape
     chosen = np.full((n, degree), -1, np.int32)
@@ -241,20 +247,25 @@ def _select_block(vectors: np.ndarray, start: int, near: np.ndarray, sims: np.nd
 
 
 class Graph:
-    """A hierarchy of levels over one shard's unit vectors; ``base`` gives level 0 if it is built already."""
+    """A hierarchy of levels over one shard's unit vectors; ``base`` gives level 0 if it is built already.
+
+    Without ``upper`` there is level 0 only, which is all that :meth:`search_own` needs.
+    """
 
-    def __init__(self, vectors: np.ndarray, degree: int = DEGREE, seed: int = 11, base: np.ndarray | None = None):
+    def __init__(self, vectors: np.ndarray, degree: int = DEGREE, seed: int = 11, base: np.ndarray | None = None, upper: bool = True):
         self.vectors = vectors
         rng = np.random.default_rng(seed)
         members = np.arange(len(vectors))
         #: the level's members, their vectors, and their neighbours as positions in members
         self.levels = [(members, vectors, build_level(vectors, degree) if base is None else base)]
-        while len(members) > TOP_ROWS:
+        while upper and len(members) > TOP_ROWS:
             members = members[rng.random(len(members)) < LEVEL_SHARE]
             if not len(members):
                 break
             v = vectors[members]
             self.levels.append((members, v, build_level(v, degree)))
+        #: where a level's members are among those of the level below
+        self.below = [np.searchsorted(lower[0], level[0]) for lower, level in zip(self.levels, self.levels[1:])]
 
     def search(self, queries: np.ndarray, k: int, ef: int = EF, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
         """The k best (positions, cosines) per query by descending the levels; -1 where there are fewer."""
@@ -265,10 +276,10 @@ class Graph:
             s = q @ v.T
             wide = min(UPPER_EF if len(self.levels) > 1 else max(ef, k), len(members))
             at = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
-            s = np.take_along_axis(s, at, 1)
+            s = _pick(s, at)
             for level in range(len(self.levels) - 2, -1, -1):
-                lower, v, links = self.levels[level]
-                at = np.searchsorted(lower, self.levels[level + 1][0][at])  # where there is no node, its cosine of -2 says so
+                _, v, links = self.levels[level]
+                at = self.below[level][at]  # where there is no node, its cosine of -2 says so
                 at, s = self._beam(q, at, s, v, links, ef if level == 0 else UPPER_EF, steps if level == 0 else UPPER_STEPS)
             self._put(out_ids, out_sims, a, at, s, k)
         return out_ids, out_sims
@@ -296,13 +307,14 @@ class Graph:
         """The best ``ef`` nodes met when the best node not yet expanded is expanded ``steps`` times."""
         n, have = at.shape
         rows = np.arange(n)
-        seen = np.zeros((n, len(v)), bool)
+        start = np.arange(1, n * (len(v) + 1), len(v) + 1)[:, None]
+        seen = np.zeros(n * (len(v) + 1), bool)  # a query's flags begin with the one of -1
+        seen[start - 1] = True
         ids = np.full((n, max(ef, have)), -1, np.int64)
         best = np.full(ids.shape, -2.0, np.float32)
         ids[:, :have], best[:, :have] = np.where(sims > -1.5, at, -1), sims
         todo = ids >= 0
-        r, c = np.nonzero(todo)
-        seen[r, ids[r, c]] = True
+        seen[start + ids] = True
         for _ in range(steps):
             open_sims = np.where(todo, best, -3.0)
             pick = np.argmax(open_sims, axis=1)
@@ -310,19 +322,18 @@ class Graph:
             if not live.any():
                 break
             todo[rows, pick] = False
-            near = links[np.maximum(ids[rows, pick], 0)].astype(np.int64)
+            near = links.take(ids[rows, pick], 0, mode="clip").astype(np.int64)
             near[~live] = -1
-            known = seen[rows[:, None], np.maximum(near, 0)]
-            near[known] = -1
-            r, c = np.nonzero(near >= 0)
-            seen[r, near[r, c]] = True
+            flags = start + near
+            near[seen.take(flags)] = -1
+            seen[flags] = True
             s = _dots(v, queries, near)
             all_ids, all_sims = np.concatenate((ids, near), 1), np.concatenate((best, s), 1)
             all_todo = np.concatenate((todo, near >= 0), 1)
             top = np.argpartition(-all_sims, ids.shape[1] - 1, axis=1)[:, : ids.shape[1]]
-            ids, best, todo = np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_sims, top, 1), np.take_along_axis(all_todo, top, 1)
+            ids, best, todo = _pick(all_ids, top), _pick(all_sims, top), _pick(all_todo, top)
         order = np.argsort(-best, axis=1, kind="stable")
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+        return _pick(ids, order), _pick(best, order)
 
 
 # --- all shards ----------------------------------------------------------------------------------
@@ -445,7 +456,7 @@ def _builder(shared, k: int, dim: int, least: float):
         ids, first = np.unique(pdf["vec_id"].to_numpy(), return_index=True)
         blobs = pdf["v"].to_numpy()[first]
         v = _vectors(blobs, dim)
-        g = Graph(v)
+        g = Graph(v, upper=False)
         own, sims = g.search_own(k)
         floors = np.maximum(sims[:, k - 1], np.float32(least))
         home = pd.DataFrame({

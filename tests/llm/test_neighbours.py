@@ -90,3 +90,23 @@ def test_planes_are_crossed_by_the_floor():
             n += len(got)
         sent.append(n)
     assert sent[0] > sent[1] > sent[2] > sent[3] == 0
+
+
+def test_builder_builds_only_the_level_it_hands_on(monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(2 * N.TOP_ROWS, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    blobs = N._blobs(np.rint(v * N.SCALE).astype(np.int16))
+    whole = N.Graph(N._vectors(blobs, 64))
+    assert len(whole.levels) == 2
+    built = []
+    monkeypatch.setattr(N, "build_level", lambda x, *a, build=N.build_level: built.append(len(x)) or build(x, *a))
+
+    class Shared:
+        value = N.Cells(v[:1], np.array([len(v)]))
+
+    pdf = N.pd.DataFrame({"cell": 0, "sub": 0, "vec_id": np.arange(len(v)), "v": blobs})
+    out = N._builder(Shared, 5, 64, -1.0)(pdf)
+    assert built == [len(v)]
+    assert (N._level(out["links"].to_numpy()) == whole.levels[0][2]).all()
+    assert (N._stack(out["own"].to_numpy(), np.int32, 5) == whole.search_own(5)[0]).all()
